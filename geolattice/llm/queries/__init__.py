@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.llm.queries import q01_exact_dedup, q08_simhash
+from geolattice.llm.queries import q01_exact_dedup, q08_simhash, q09_packing
 
-MODULES = (q01_exact_dedup, q08_simhash)
+MODULES = (q01_exact_dedup, q08_simhash, q09_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
