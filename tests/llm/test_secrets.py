@@ -1,0 +1,85 @@
+"""Secret scans against Python's regular expressions and direct entropies."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from geolattice.llm import secrets
+from geolattice.llm.queries import q02_secrets
+
+
+def slow_entropy(s, width=secrets.WINDOW):
+    n = min(len(s), width)
+    windows = [s[i : i + n] for i in range(len(s) - n + 1)]
+    return max(-sum(c / n * math.log2(c / n) for c in Counter(w).values()) for w in windows)
+
+
+def slow_scan(text):
+    text = text or ""
+    found = []
+    for order, (kind, pattern, group, least) in enumerate(secrets.BASE):
+        for m in re.finditer(pattern.replace("(?i:", "(?ai:"), text):
+            if len(m.group(group)) >= least:
+                found.append((m.start(), order, m.end(), kind))
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        s = m.group()
+        if not re.search("[0-9]", s) or any(a < m.end() and m.start() < b for a, _, b, _ in found) or any(re.search(p, s) for p in secrets.ALLOW):
+            continue
+        least = next((h for _, p, h in secrets.CLASSES if re.search(p, s)), 1e300)
+        if slow_entropy(s) >= least:
+            more.append((m.start(), 3, m.end(), "entropy"))
+    show = lambda spans: [f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)]
+    return Counter(k for *_, k in found + more), show(found), show(found + more)
+
+
+def texts():
+    rng = random.Random(9)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pieces = ["word ", "é\U0001f600 ", "\n", "Password = 'abc.def=12345'", "TOKEN:short", 'apiKEY="abcdefgh1234"', "api_key=x", "secretsecret: zzzzzzzz", "AKIAABCDEFGHIJKL12", "AKIA12", "0123456789abcdef" * 2, "deadbeef "]
+    out = [None, "", "token=", "token=token=abcdefgh", "x" * 200_000 + " passwd: hunter2hunter2 "]
+    for _ in range(120):
+        parts = rng.choices(pieces, k=rng.randint(1, 8))
+        parts += ["".join(rng.choices(base64, k=rng.randint(18, 70))), "".join(rng.choices("aaab1", k=40)), "123e4567-e89b-12d3-a456-426614174000", "path/to/file/name/that/is/long1"]
+        rng.shuffle(parts)
+        out.append(rng.choice(["", " "]).join(parts))
+    return out
+
+
+def test_scan_against_brute_force(spark):
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS _text", "1 AS base", "'b' AS n_hex")
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    kinds = Counter()
+    for doc_id, text in rows:
+        counts, base, all_ = slow_scan(text)
+        r = got[doc_id]
+        assert (r.base, r.all) == (base, all_), text
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_entropy) == tuple(counts[k] for k in ("assign", "access", "hex", "entropy"))
+        kinds += counts
+    assert min(kinds[k] for k in ("assign", "access", "hex", "entropy")) > 5
+
+
+def test_incremental_entropy_is_exact(spark):
+    rng = random.Random(2)
+    strings = ["".join(rng.choices("abcdef0123", k=rng.randint(1, 60))) for _ in range(80)]
+    frame = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.window_entropy(F.col("s")).alias("e"))
+    for s, e in frame.collect():
+        assert e == pytest.approx(slow_entropy(s), abs=1e-9)
+
+
+def test_query_digest_empty_table_and_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "token: abcdefgh9"), (4, None), (4, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(q02_secrets.query(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id or 0)
+    assert [r.spans for r in got] == ["assign:0:16", "", ""]
+    assert got[0].base_sha256 == hashlib.sha256(b"assign:0:16").hexdigest()
+    assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secrets.scan_secrets(docs.limit(0)).collect() == []
