@@ -58,7 +58,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_slices(batches, "text"):
         values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(values)], names=[*names, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,6 +85,16 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return meeting.select(F.explode(F.array_remove("at", F.array_min("at"))).alias("u"), F.array_min("at").alias("v")).distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints by row, and (fp, component, component_id) by fingerprint."""
+    signed = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-owners")
+    labels = connected_components(near_links(distinct.select("fp")))
+    joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    owners = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return signed, joined.join(owners, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups documents whose fingerprints are linked by steps of at most two bits.
 
@@ -93,11 +104,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a group of NULL ids only has a NULL component. An empty table gives no rows. Other columns
     are ignored, whatever their names.
     """
-    signed = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-owners")
-    labels = connected_components(near_links(distinct.select("fp")))
-    joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    owners = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    owned = joined.join(owners, "component").select("fp", "component_id")
+    signed, owned = _grouped(docs, id_col, text_col)
     found = signed.join(owned, "fp")
     return found.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: one with the smallest id.
+
+    Rows tie where they repeat that id, or where a group has NULL ids only; of those, the row
+    with the smallest hash of all its columns stays, and of rows alike in every column one.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], order.alias("_order"))
+    slim = rows.select(F.col(names[id_col]).cast("long").alias("doc_id"), "_order", F.col(names[text_col]).alias("text"))
+    slim = materialize(slim.mapInArrow(_fingerprints, "doc_id long, _order long, fp long"), "fingerprints")
+    distinct = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-owners")
+    labels = connected_components(near_links(distinct.select("fp")))
+    joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    component = joined.select("fp", "component")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_order").alias("o"))
+    winners = slim.join(component, "fp").groupBy("component").agg(F.min(rank).alias("w"))
+    chosen = materialize(winners.select(F.col("w.i").alias("_id"), F.col("w.o").alias("_win")), "representatives")
+    back = [F.col(n).alias(c) for c, n in names.items()]
+    kept = rows.join(chosen, (F.col("_order") == F.col("_win")) & F.col(names[id_col]).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_order", names[id_col]]).select(*back)
