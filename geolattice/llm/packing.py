@@ -144,13 +144,19 @@ def fill_bin(left: np.ndarray, capacity: int, whole: bool = True) -> list[int]:
     return pieces
 
 
-def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """A feasible basis: each greedy pattern is used, in fractions, until one of its lengths runs out, and becomes that length's column."""
+def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis and its inverse.
+
+    Each greedy pattern is used, in fractions, until one of its lengths runs out, and becomes
+    that length's column. A pattern holds no length that ran out before, so in the order of
+    running out the basis is triangular, and substitution inverts it.
+    """
     place = np.full(capacity + 1, -1)
     place[lengths] = np.arange(len(lengths))
     left = np.zeros(capacity + 1)
     left[lengths] = demand
     basis = np.zeros((len(lengths), len(lengths)))
+    order: list[int] = []
     while left.any():
         pattern = np.bincount(fill_bin(left, capacity, whole=False), minlength=capacity + 1)
         used = np.flatnonzero(pattern)
@@ -159,9 +165,22 @@ def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np
         left[used] = np.maximum(left[used] - pattern[used] * ratios.min(), 0.0)
         left[out] = 0.0
         basis[place[used], place[out]] = pattern[used]
-    for i in np.flatnonzero(~basis.any(axis=0)):  # ran out together with another length
-        basis[i, i] = capacity // lengths[i]
-    return basis
+        together = [int(place[n]) for n in used if not left[n] and n != out]
+        for i in together:
+            basis[i, i] = capacity // lengths[i]
+        order += [int(place[out]), *together]
+    inverse = np.zeros_like(basis)
+    for i in order:
+        inverse[i, i] = 1.0
+        for j in np.flatnonzero(basis[i]):
+            if j != i:
+                inverse[i] -= basis[i, j] * inverse[j]
+        inverse[i] /= basis[i, i]
+    return basis, inverse
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)  # one thread, whatever the driver's BLAS does
 
 
 def solve_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.0005, max_pivots: int = 400, per_round: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -171,29 +190,20 @@ def solve_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap:
     ``gap`` of the number of tokens, which no packing can beat, when no column prices out, or
     after ``max_pivots`` exchanges (the solution is then feasible but may be improvable).
     """
-    basis = starting_basis(lengths, demand, capacity)
+    basis, inverse = starting_basis(lengths, demand, capacity)
     nudged = demand * (1 + 1e-9 * np.arange(1, len(lengths) + 1))  # no two ratios tie, so no cycles
-    try:
-        inverse = np.linalg.inv(basis)
-        amounts = inverse @ nudged
-    except np.linalg.LinAlgError:
-        amounts = np.array([-1.0])
-    if amounts.min() < -1e-3:  # not feasible after all: one length a pattern always is
-        basis = np.diag(np.array([capacity // n for n in lengths], dtype=float))
-        inverse = np.diag(1.0 / np.diag(basis))
-        amounts = inverse @ nudged
-    amounts = np.maximum(amounts, 0.0)
-    costs = np.array([padded(int(t), capacity) for t in lengths @ basis], dtype=float)
+    amounts = np.maximum(_times(inverse, nudged), 0.0)
+    costs = np.array([padded(int(t), capacity) for t in _times(basis.T, lengths.astype(float))], dtype=float)
     least = float(lengths @ demand)
     pivots = 0
     while pivots < max_pivots and costs @ amounts > least * (1 + gap):
         moved = False
-        for pattern in price_columns(lengths, costs @ inverse, capacity, per_round):
+        for pattern in price_columns(lengths, _times(inverse.T, costs), capacity, per_round):
             cost = float(padded(int(pattern @ lengths), capacity))
             used = np.flatnonzero(pattern)
-            if cost - (costs @ inverse[:, used]) @ pattern[used] > -1e-7:
+            direction = _times(inverse[:, used], pattern[used])
+            if cost - costs @ direction > -1e-7:
                 continue
-            direction = inverse[:, used] @ pattern[used]
             up = np.flatnonzero(direction > 1e-9)
             if not len(up):
                 continue
@@ -202,7 +212,7 @@ def solve_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap:
             inverse -= np.outer(direction, pivot_row)
             inverse[row] = pivot_row
             basis[:, row], costs[row] = pattern, cost
-            amounts = np.maximum(inverse @ nudged, 0.0)
+            amounts = np.maximum(_times(inverse, nudged), 0.0)
             pivots += 1
             moved = True
         if not moved:
