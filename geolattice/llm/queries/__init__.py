@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.llm.queries import q01_exact_dedup, q02_secrets, q03_decontaminate, q05_language_id, q08_simhash, q09_packing
+from geolattice.llm.queries import q01_exact_dedup, q02_secrets, q03_decontaminate, q05_language_id, q06_quality, q07_toxicity, q08_simhash, q09_packing
 
-MODULES = (q01_exact_dedup, q02_secrets, q03_decontaminate, q05_language_id, q08_simhash, q09_packing)
+MODULES = (q01_exact_dedup, q02_secrets, q03_decontaminate, q05_language_id, q06_quality, q07_toxicity, q08_simhash, q09_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
