@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.llm.queries import q01_exact_dedup, q02_secrets, q03_decontaminate, q05_language_id, q06_quality, q07_toxicity, q08_simhash, q09_packing, q10_katz
+from geolattice.llm.queries import q01_exact_dedup, q02_secrets, q03_decontaminate, q04_licenses, q05_language_id, q06_quality, q07_toxicity, q08_simhash, q09_packing, q10_katz
 
-MODULES = (q01_exact_dedup, q02_secrets, q03_decontaminate, q05_language_id, q06_quality, q07_toxicity, q08_simhash, q09_packing, q10_katz)
+MODULES = (q01_exact_dedup, q02_secrets, q03_decontaminate, q04_licenses, q05_language_id, q06_quality, q07_toxicity, q08_simhash, q09_packing, q10_katz)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
