@@ -1,18 +1,74 @@
-"""Cosine top-k.
+"""Exact cosine search in blocks.
 
-The query side is small by contract and its size is checked; each query row is
-scored against the gallery row by row, and only the best k rows of each task and
-query reach the shuffle (window group limit).
+Queries go out in blocks of a fixed number of rows; the gallery is never broadcast,
+collected or shuffled. A task multiplies each Arrow batch of its gallery rows with the block
+and keeps its best k per query, so k rows per task and query reach the final ranking.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolattice.functions.vectors import as_double, dot, l2_normalize
+from geolattice.functions.vectors import as_double, l2_normalize
+
+BLOCK_ROWS = 4096
 
 
 def normalized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): unit vectors in DOUBLE, zero vectors dropped."""
-    return vectors.select(F.col(id_col).alias("id"), l2_normalize(as_double(F.col(vec_col))).alias("v")).filter("v is not null")
+    """(id, v): unit vectors in DOUBLE; NULL and zero vectors are dropped."""
+    return vectors.select(F.col(id_col).alias("id"), l2_normalize(as_double(F.col(vec_col))).alias("v")).filter("v IS NOT NULL")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _best_of_task(ids: np.ndarray, block: np.ndarray, k: int, keep_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = np.full((len(ids), 0), -np.inf)
+        other = np.zeros((len(ids), 0), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column("id").to_numpy(zero_copy_only=False)
+            s = block @ _matrix(batch.column("v")).T
+            if not keep_self:
+                s[ids[:, None] == gid[None, :]] = -np.inf
+            score, other = np.concatenate([score, s], axis=1), np.concatenate([other, np.broadcast_to(gid, s.shape)], axis=1)
+            # rounding first, so that ties fall to the smaller id as in the final ranking
+            order = np.lexsort((other, -np.round(score, 9)), axis=1)[:, :k]
+            score, other = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
+        found = np.isfinite(score)
+        qid = np.broadcast_to(ids[:, None], score.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[found]), pa.array(other[found]), pa.array(score[found])], names=["qid", "gid", "score"])
+
+    return run
+
+
+def cosine_topk(gallery: DataFrame, queries: DataFrame, k: int, keep_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(qid, gid, rank, score): the k gallery rows nearest to each query by cosine, ties by the smaller id.
+
+    Both sides are (id long, v array<double>) with unit vectors of one length. A query never
+    finds its own id unless ``keep_self``. Fewer than k rows come back from a smaller gallery.
+    """
+    spark = gallery.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // block_rows))
+    parts = []
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        rows = mine.select("id", "v").collect()  # at most about block_rows rows
+        if rows:
+            ids, block = np.array([r.id for r in rows], dtype=np.int64), np.array([r.v for r in rows])
+            parts.append(gallery.select("id", "v").mapInArrow(_best_of_task(ids, block, k, keep_self), "qid long, gid long, score double"))
+    if not parts:
+        return spark.createDataFrame([], "qid long, gid long, rank int, score double")
+    found = reduce(DataFrame.union, parts)
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "gid")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "gid", "rank", "score")
