@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.plans import retrieval
+from geolattice.plans import cameras, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, cameras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
