@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.plans import cameras, retrieval
+from geolattice.plans import cameras, localization, retrieval
 
-MODULES = (retrieval, cameras)
+MODULES = (retrieval, cameras, localization)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
