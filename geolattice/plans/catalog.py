@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.plans import cameras, localization, retrieval
+from geolattice.plans import building, cameras, localization, retrieval
 
-MODULES = (retrieval, cameras, localization)
+MODULES = (retrieval, cameras, localization, building)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
