@@ -57,14 +57,16 @@ def in_fold(id_col: Column, modulus: int, remainder: int) -> Column:
 
 
 def small_slices(batches: Iterator[pa.RecordBatch], text_at: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about ``limit`` bytes of text, or one long row."""
+    """Cuts Arrow batches into even parts of about ``limit`` bytes of text at most, or one long row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(text_at))), 0).to_pylist()
+        total = sum(lengths)
+        even = total / max(1, -(-total // limit)) + 1
         start, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > limit:
+            if held and held + n > even:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
