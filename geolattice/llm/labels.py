@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolattice.llm.common import materialize
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
-    """(id, text, label) of the documents with a non-null label; where labels repeat an id the largest counts."""
-    marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(label).cast("int").alias("label"))
-    rows = docs if keep is None else docs.filter(keep)
-    return rows.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(marks, "id")
 
+def draw_labelled(
+    docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", unlabelled: bool = False, largest: bool = True, salt: int = 7
+) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
+    """A sample of whole texts by label: ((id, text, label), share drawn by label, rows by label).
 
-def bounded_by_label(rows: DataFrame, label_col: str, most: int, salt: int = 7) -> tuple[DataFrame, dict]:
-    """About ``most`` rows of each label at most, drawn by hash of the id; and the share drawn by label.
-
-    The number drawn is binomial around the bound, so memory is bounded with it.
+    At most about ``most`` ids of each label are drawn, by hash of the id, so the number is
+    binomial around the bound and memory is bounded with it. Labels meet ids alone; only the
+    drawn ids, a bounded table, are broadcast to fetch texts. Where labels repeat an id the
+    largest (or smallest) counts; NULL labels are none. With ``unlabelled`` rows without a
+    label are drawn too, as label -1. NULL texts count as empty.
     """
+    best = F.max(label) if largest else F.min(label)
+    marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(best.cast("int").alias("label"))
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).join(marks, "id", "left" if unlabelled else "inner").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    counts = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     spread = 1 << 30
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).agg(F.count("*")).collect()}
-    if not counts:
-        return rows.limit(0), {}
     cuts = {k: min(spread, int(most * spread / max(1, n))) for k, n in counts.items()}
-    cut = F.element_at(F.create_map(*[F.lit(x) for k, c in cuts.items() for x in (k, c)]), F.col(label_col))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id", "text"), F.lit(spread)) < cut)
-    return drawn, {k: c / spread for k, c in cuts.items()}
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    if not counts:
+        return rows.limit(0).withColumn("label", F.lit(0)), {}, {}
+    cut = F.element_at(F.create_map(*[F.lit(x) for k, c in cuts.items() for x in (k, c)]), F.col("label"))
+    drawn = materialize(ids.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(spread)) < cut).distinct(), "drawn-ids")
+    return rows.join(F.broadcast(drawn), "id"), {k: c / spread for k, c in cuts.items()}, counts
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import materialize, small_slices
-from geolattice.llm.labels import bounded_by_label, sigmoid
+from geolattice.llm.labels import draw_labelled, sigmoid
 
 HIDDEN = 48
 
@@ -153,14 +153,11 @@ def fit_quality(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     id the smallest counts. If every row is labelled, all rows stand in for unlabelled text.
     Without positives the score is the prior everywhere.
     """
-    marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(label).cast("int").alias("label"))
-    rows = train.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(marks, "id", "left")
-    grouped = rows.select("id", "text", F.coalesce("label", F.lit(-1)).alias("label"))
-    counts = {r.label: r.n for r in grouped.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    drawn, _, counts = draw_labelled(train, labels, label, sample_rows, id_col, text_col, unlabelled=True, largest=False)
     prior = estimate_prior(counts.get(1, 0), counts.get(0, 0))
     if counts.get(-1, 0) < 50:
-        grouped = grouped.union(grouped.filter("label >= 0").select("id", "text", F.lit(-1)))
-    drawn, _ = bounded_by_label(grouped.filter("label <> 0"), "label", sample_rows)
+        drawn = drawn.union(drawn.filter("label >= 0").select("id", "text", F.lit(-1)))
+    drawn = drawn.filter("label <> 0")
     seen = materialize(drawn.select("text", "label").mapInArrow(_scored(None), "label int, x array<double>"), "quality-sample").collect()
     positive, unlabelled = (np.array([r.x for r in seen if r.label == k], dtype=float).reshape(-1, FEATURES) for k in (1, -1))
     if not len(positive) or not len(unlabelled):

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import in_fold
-from geolattice.llm.labels import labelled_rows
 from geolattice.llm.toxicity import fit_toxicity, score_toxicity
 
 NAME = "op7_toxicity"
@@ -17,5 +16,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = in_fold(F.col("doc_id"), 5, 0)
-    model = fit_toxicity(labelled_rows(docs, labels, "toxic", keep=~held_out))
+    model = fit_toxicity(docs.filter(~held_out), labels.filter(~held_out))
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import materialize, small_slices
-from geolattice.llm.labels import bounded_by_label, fit_logistic, sigmoid
+from geolattice.llm.labels import draw_labelled, fit_logistic, sigmoid
 
 #: Terms of abuse known without labels.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -214,12 +214,12 @@ def _featured(model: ToxicityModel, scored: bool):
     return run
 
 
-def fit_toxicity(rows: DataFrame, sample_rows: int = 6000) -> ToxicityModel:
-    """Fits lexicon and weights from (id, text, label) rows, at most about ``sample_rows`` of each label.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = 6000) -> ToxicityModel:
+    """Fits lexicon and weights from labelled rows of ``docs``, at most about ``sample_rows`` of each label.
 
     With one label only, the seed terms and fixed weights are used.
     """
-    drawn, share = bounded_by_label(rows, "label", sample_rows)
+    drawn, share, _ = draw_labelled(docs, labels, label, sample_rows, id_col, text_col)
     sample = materialize(drawn.select("id", "text", "label"), "toxicity-sample")
     terms, stems = learn_lexicon(sample)
     bare = ToxicityModel(terms, stems)

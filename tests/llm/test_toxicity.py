@@ -7,7 +7,6 @@ import random
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import in_fold
-from geolattice.llm.labels import labelled_rows
 from geolattice.llm.toxicity import LexiconTrie, ToxicityModel, fit_toxicity, is_quoted, score_toxicity
 
 
@@ -61,7 +60,7 @@ def corpus(spark, n=400):
 def test_held_out_accuracy_and_misspellings(spark):
     docs, labels = corpus(spark)
     held_out = in_fold(F.col("doc_id"), 5, 0)
-    model = fit_toxicity(labelled_rows(docs, labels, "toxic", keep=~held_out))
+    model = fit_toxicity(docs.filter(~held_out), labels)
     assert "grumpf" in model.terms and any(s.startswith("vlor") for s in model.stems)
     got = score_toxicity(docs.withColumn("score", F.lit(1)), model).join(labels.filter("toxic IS NOT NULL"), "doc_id").filter(held_out).collect()
     assert len(got) > 50 and sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
@@ -74,6 +73,6 @@ def test_held_out_accuracy_and_misspellings(spark):
 def test_one_label_or_none_falls_back_to_the_seed_terms(spark):
     docs, labels = corpus(spark, 20)
     for some in (labels.filter("toxic = 0"), labels.limit(0)):
-        model = fit_toxicity(labelled_rows(docs, some, "toxic"))
+        model = fit_toxicity(docs, some)
         assert isinstance(model, ToxicityModel) and "idiot" in model.terms
         assert score_toxicity(docs, model).count() == 20
