@@ -1,7 +1,9 @@
 """Camera algebra as Column expressions.
 
 Matrices are row-major arrays of doubles: 9 for rotations and intrinsics, 12 for projections,
-16 for homogeneous poses. NULL in, NULL out.
+16 for homogeneous poses. NULL in, NULL out. Functions take array columns or ``Matrix`` and
+give ``Matrix``, a list of entries: products of products then hold each entry once instead of
+whole arrays over and over. ``column`` turns either into an array column.
 """
 
 from __future__ import annotations
@@ -10,22 +12,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def at(m: Column, i: int) -> Column:
-    return F.get(m, i)
+class Matrix(list):
+    """Entries of a matrix as Columns, row by row."""
 
+    def alias(self, name: str) -> Column:
+        return column(self).alias(name)
 
-def matmul(a: Column, b: Column, n: int, k: int, m: int) -> Column:
+
+def column(m) -> Column:
+    return F.array(*m) if isinstance(m, list) else m
+
+
+def at(m, i: int) -> Column:
+    return m[i] if isinstance(m, list) else F.get(m, i)
+
+
+def matmul(a: Column, b: Column, n: int, k: int, m: int) -> Matrix:
     """Product of an n*k and a k*m matrix."""
     terms = lambda r, c: [at(a, r * k + i) * at(b, i * m + c) for i in range(k)]
-    return F.array(*[sum(terms(r, c)[1:], terms(r, c)[0]) for r in range(n) for c in range(m)])
+    return Matrix(sum(terms(r, c)[1:], terms(r, c)[0]) for r in range(n) for c in range(m))
 
 
-def transpose(a: Column, n: int = 3, m: int = 3) -> Column:
-    return F.array(*[at(a, r * m + c) for c in range(m) for r in range(n)])
+def transpose(a: Column, n: int = 3, m: int = 3) -> Matrix:
+    return Matrix(at(a, r * m + c) for c in range(m) for r in range(n))
 
 
-def negate(a: Column) -> Column:
-    return F.transform(a, lambda x: -x)
+def negate(a, n: int = 3) -> Matrix:
+    return Matrix(-at(a, i) for i in range(n))
 
 
 def intrinsics(w: Column, h: Column, fov: Column, given: Column | None = None) -> Column:
@@ -36,10 +49,10 @@ def intrinsics(w: Column, h: Column, fov: Column, given: Column | None = None) -
     return made if given is None else F.coalesce(given, made)
 
 
-def pose_matrix(r: Column, t: Column) -> Column:
+def pose_matrix(r: Column, t: Column) -> Matrix:
     """Homogeneous 4x4 pose [R T; 0 0 0 1]."""
     rows = [x for i in range(3) for x in (at(r, 3 * i), at(r, 3 * i + 1), at(r, 3 * i + 2), at(t, i))]
-    return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return Matrix([*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)])
 
 
 def rotation_of(e: Column) -> Column:
@@ -50,34 +63,34 @@ def translation_of(e: Column) -> Column:
     return F.when(e.isNotNull(), F.array(at(e, 3), at(e, 7), at(e, 11)))
 
 
-def camera_center(r: Column, t: Column) -> Column:
+def camera_center(r: Column, t: Column) -> Matrix:
     """Position of a camera: -R^T T."""
     return negate(matmul(transpose(r), t, 3, 3, 1))
 
 
-def translation_from_center(r: Column, c: Column) -> Column:
+def translation_from_center(r: Column, c: Column) -> Matrix:
     return negate(matmul(r, c, 3, 3, 1))
 
 
-def projection_matrix(k: Column, r: Column, t: Column) -> Column:
+def projection_matrix(k: Column, r: Column, t: Column) -> Matrix:
     """3x4 projection [K R | K T]."""
     kr, kt = matmul(k, r, 3, 3, 3), matmul(k, t, 3, 3, 1)
-    return F.array(*[x for i in range(3) for x in (at(kr, 3 * i), at(kr, 3 * i + 1), at(kr, 3 * i + 2), at(kt, i))])
+    return Matrix(x for i in range(3) for x in (*kr[3 * i : 3 * i + 3], kt[i]))
 
 
-def relative_rotation(r1: Column, r2: Column) -> Column:
+def relative_rotation(r1: Column, r2: Column) -> Matrix:
     return matmul(r2, transpose(r1), 3, 3, 3)
 
 
-def relative_translation(r1: Column, t1: Column, r2: Column, t2: Column) -> Column:
+def relative_translation(r1: Column, t1: Column, r2: Column, t2: Column) -> Matrix:
     moved = matmul(relative_rotation(r1, r2), t1, 3, 3, 1)
-    return F.array(*[at(t2, i) - at(moved, i) for i in range(3)])
+    return Matrix(at(t2, i) - moved[i] for i in range(3))
 
 
-def rotation_y(degrees: Column) -> Column:
+def rotation_y(degrees: Column) -> Matrix:
     a = F.radians(degrees)
     z, one = F.lit(0.0), F.lit(1.0)
-    return F.array(F.cos(a), z, F.sin(a), z, one, z, -F.sin(a), z, F.cos(a))
+    return Matrix([F.cos(a), z, F.sin(a), z, one, z, -F.sin(a), z, F.cos(a)])
 
 
 def _clipped_acos(x: Column) -> Column:
@@ -129,7 +142,7 @@ def matrix_to_quaternion(r: Column) -> Column:
     by_y = F.array((m[0][2] - m[2][0]) / (4 * y), (m[0][1] + m[1][0]) / (4 * y), y, (m[1][2] + m[2][1]) / (4 * y))
     by_z = F.array((m[1][0] - m[0][1]) / (4 * z), (m[0][2] + m[2][0]) / (4 * z), (m[1][2] + m[2][1]) / (4 * z), z)
     q = F.when((w >= x) & (w >= y) & (w >= z), by_w).when((x >= y) & (x >= z), by_x).when(y >= z, by_y).otherwise(by_z)
-    return F.when(F.get(q, 0) < 0, negate(q)).otherwise(q)
+    return F.when(F.get(q, 0) < 0, F.transform(q, lambda v: -v)).otherwise(q)
 
 
 def scaled_intrinsics(k: Column, sx: Column, sy: Column) -> Column:
@@ -155,7 +168,7 @@ def rotated_intrinsics(k: Column, w: Column, h: Column, quarter_turns: Column) -
 def epipolar_error(x0: Column, y0: Column, x1: Column, y1: Column, r: Column, t: Column) -> Column:
     """Symmetric squared epipolar distance of normalised points, with E = [t]x R."""
     z = F.lit(0.0)
-    cross = F.array(z, -at(t, 2), at(t, 1), at(t, 2), z, -at(t, 0), -at(t, 1), at(t, 0), z)
+    cross = Matrix([z, -at(t, 2), at(t, 1), at(t, 2), z, -at(t, 0), -at(t, 1), at(t, 0), z])
     e = matmul(cross, r, 3, 3, 3)
     row = lambda i: at(e, 3 * i) * x0 + at(e, 3 * i + 1) * y0 + at(e, 3 * i + 2)
     col = lambda j: at(e, j) * x1 + at(e, 3 + j) * y1 + at(e, 6 + j)

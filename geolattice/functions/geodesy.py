@@ -16,6 +16,11 @@ B = A * (1 - FLAT)
 STEPS = 20
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _series(u2: Column) -> tuple[Column, Column]:
     big = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     small = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
@@ -33,30 +38,33 @@ def inverse(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     around = F.radians(lng2 - lng1)
     s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
 
-    def parts(lam: Column) -> dict[str, Column]:
-        sin_l, cos_l = F.sin(lam), F.cos(lam)
-        p, q = c2 * sin_l, c1 * s2 - s1 * c2 * cos_l
-        sin_s = F.sqrt(p * p + q * q)
-        cos_s = s1 * s2 + c1 * c2 * cos_l
-        sin_a = F.when(sin_s == 0, 0.0).otherwise(c1 * c2 * sin_l / sin_s)
-        cos2_a = 1 - sin_a * sin_a
-        cos_2m = F.when(cos2_a == 0, 0.0).otherwise(cos_s - 2 * s1 * s2 / cos2_a)
-        return {"sin_s": sin_s, "cos_s": cos_s, "sin_a": sin_a, "cos2_a": cos2_a, "cos_2m": cos_2m, "p": p, "q": q}
+    def parts(lam: Column) -> Column:
+        """struct of what every step needs, each worked out once."""
+        p, q = c2 * F.sin(lam), c1 * s2 - s1 * c2 * F.cos(lam)
+        first = F.struct(p.alias("p"), q.alias("q"), F.sqrt(p * p + q * q).alias("sin_s"), (s1 * s2 + c1 * c2 * F.cos(lam)).alias("cos_s"), F.sin(lam).alias("sin_l"))
+        second = _let(first, lambda x: F.struct(x["p"].alias("p"), x["q"].alias("q"), x["sin_s"].alias("sin_s"), x["cos_s"].alias("cos_s"), F.when(x["sin_s"] == 0, 0.0).otherwise(c1 * c2 * x["sin_l"] / x["sin_s"]).alias("sin_a")))
+
+        def third(x: Column) -> Column:
+            cos2_a = 1 - x["sin_a"] * x["sin_a"]
+            return F.struct(x["p"].alias("p"), x["q"].alias("q"), x["sin_s"].alias("sin_s"), x["cos_s"].alias("cos_s"), x["sin_a"].alias("sin_a"), cos2_a.alias("cos2_a"), F.when(cos2_a == 0, 0.0).otherwise(x["cos_s"] - 2 * s1 * s2 / cos2_a).alias("cos_2m"), F.atan2(x["sin_s"], x["cos_s"]).alias("sigma"))
+
+        return _let(second, third)
 
     def step(acc: Column, _: Column) -> Column:
-        x = parts(acc["lam"])
-        sigma = F.atan2(x["sin_s"], x["cos_s"])
-        c = FLAT / 16 * x["cos2_a"] * (4 + FLAT * (4 - 3 * x["cos2_a"]))
-        lam = around + (1 - c) * FLAT * x["sin_a"] * (sigma + c * x["sin_s"] * (x["cos_2m"] + c * x["cos_s"] * (-1 + 2 * x["cos_2m"] * x["cos_2m"])))
-        return F.struct(lam.alias("lam"), F.abs(lam - acc["lam"]).alias("moved"))
+        def moved(x: Column) -> Column:
+            c = FLAT / 16 * x["cos2_a"] * (4 + FLAT * (4 - 3 * x["cos2_a"]))
+            return around + (1 - c) * FLAT * x["sin_a"] * (x["sigma"] + c * x["sin_s"] * (x["cos_2m"] + c * x["cos_s"] * (-1 + 2 * x["cos_2m"] * x["cos_2m"])))
+
+        return _let(_let(parts(acc["lam"]), moved), lambda lam: F.struct(lam.alias("lam"), F.abs(lam - acc["lam"]).alias("moved")))
 
     def finish(acc: Column) -> Column:
-        x = parts(acc["lam"])
-        sigma = F.atan2(x["sin_s"], x["cos_s"])
-        big, small = _series(x["cos2_a"] * (A * A - B * B) / (B * B))
-        distance = B * big * (sigma - _delta(small, x["sin_s"], x["cos_s"], x["cos_2m"]))
-        azimuth = F.when(x["sin_s"] == 0, 0.0).otherwise(F.degrees(F.atan2(x["p"], x["q"])))
-        return F.when(acc["moved"] < 1e-9, F.struct(azimuth.alias("azimuth"), distance.alias("distance")))
+        def ends(x: Column) -> Column:
+            big, small = _series(x["cos2_a"] * (A * A - B * B) / (B * B))
+            distance = B * big * (x["sigma"] - _delta(small, x["sin_s"], x["cos_s"], x["cos_2m"]))
+            azimuth = F.when(x["sin_s"] == 0, 0.0).otherwise(F.degrees(F.atan2(x["p"], x["q"])))
+            return F.struct(azimuth.alias("azimuth"), distance.alias("distance"))
+
+        return F.when(acc["moved"] < 1e-9, _let(parts(acc["lam"]), ends))
 
     start = F.struct(around.alias("lam"), F.lit(1.0).cast("double").alias("moved"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, finish)

@@ -14,7 +14,7 @@ from geolattice.plans.fixtures import CAMERAS, cameras
 
 def _rounded(df: DataFrame, key: str, values: Column) -> DataFrame:
     """(key, pos, x): an array column, one row per entry, rounded."""
-    return df.select(key, F.posexplode(values).alias("pos", "x")).select(key, "pos", (F.round("x", 6) + 0.0).alias("x"))
+    return df.select(key, F.posexplode(camera.column(values)).alias("pos", "x")).select(key, "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def projection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pose_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _poses(spark, sf_dir).withColumn("e", camera.pose_matrix(F.col("r"), F.col("t")))
+    p = _poses(spark, sf_dir).withColumn("e", camera.column(camera.pose_matrix(F.col("r"), F.col("t"))))
     return _rounded(p, "v", F.concat(camera.rotation_of(F.col("e")), camera.translation_of(F.col("e"))))
 
 
@@ -58,7 +58,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relative_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _pairs(spark, sf_dir)
     a, b, c, e = F.col("r"), F.col("t"), F.col("r2"), F.col("t2")
-    return _rounded(d, "v", F.concat(camera.relative_rotation(a, c), camera.relative_translation(a, b, c, e)))
+    return _rounded(d, "v", [*camera.relative_rotation(a, c), *camera.relative_translation(a, b, c, e)])
 
 
 def rotation_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def geodesic_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relative_extrinsic(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = geodesy.relative_position(F.col("lat0"), F.col("lng0"), F.col("alt0"), F.col("azn0"), F.col("lat"), F.col("lng"), F.col("alt"))
     d = _anchor(spark, sf_dir).select("entry_id", c.alias("c"), camera.rotation_y(F.col("azn0") - F.col("azn")).alias("r"))
-    out = d.select("entry_id", F.posexplode(F.concat("r", camera.translation_from_center(F.col("r"), F.col("c")))).alias("pos", "x"))
+    out = d.select("entry_id", F.posexplode(F.concat("r", camera.column(camera.translation_from_center(F.col("r"), F.col("c"))))).alias("pos", "x"))
     return out.select("entry_id", "pos", (F.round("x", 4) + 0.0).alias("x"))
 
 

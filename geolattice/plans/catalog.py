@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.plans import building, cameras, localization, retrieval
+from geolattice.plans import building, cameras, localization, retrieval, solving
 
-MODULES = (retrieval, cameras, localization, building)
+MODULES = (retrieval, cameras, localization, building, solving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
