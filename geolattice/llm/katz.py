@@ -40,7 +40,7 @@ CUT = 5
 FLOOR = 0.05
 #: Hashes that stand for the end of a text and for its start as a history.
 END, START = (1 << 64) - 1, (1 << 64) - 2
-CHUNK_TEXT = 14 << 20
+CHUNK_TEXT = 10 << 20
 #: Words with a larger share of all training tokens than one in so many have their pairs spread.
 HOT_SHARE = 512
 STATS = 2 + 2 * (CUT + 1)
