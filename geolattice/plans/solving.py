@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.functions import camera
-from geolattice.operators import solve
+from geolattice.operators import knn, solve
+from geolattice.operators import localize as pose_pipeline
+from geolattice.scratch import staged
 
 POINTS = 24
 FOCAL, MIDDLE = 500.0, 320.0
@@ -105,3 +107,43 @@ round(-(vec_id % 4) / 4e0, 4) + 0e0 AS c2, round(sin(radians(vec_id % 7 - 3e0)),
     "two_view_poses": """WITH t AS (SELECT radians(5e0) AS a, sqrt(1.04e0) AS n) SELECT vec_id AS query_id, 'ok' AS status, CAST(24 AS INTEGER) AS n_inliers, round(-cos(a) / n, 3) AS t0, round(-0.2e0 / n, 3) AS t1, round(sin(a) / n, 3) AS t2, round(sin(a), 4) AS r02 FROM embeddings, t""",
     "undistort_points": f"WITH {_SCENE} SELECT q, k, round(x / z, 6) + 0e0 AS x, round(y / z, 6) + 0e0 AS y FROM s",
 }
+
+
+# --- end to end -----------------------------------------------------------------------------
+
+EVERY, K_REFS = 50, 6
+
+
+def _reference_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref_id, K, R, T): every vector as a reference camera a few metres from the scene's origin."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ref_id"))
+    v = F.col("ref_id")
+    r = camera.rotation_y((v % 9 - 4).cast("double"))
+    c = [(v % 5) * 1.0, (v % 3) / 5.0, -(v % 4) / 2.0]
+    return e.select("ref_id", _k().alias("K"), r.alias("R"), camera.translation_from_center(r, c).alias("T"))
+
+
+def localize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector asks; references are retrieved by cosine, and see its scene."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    unit = knn.normalized(vectors, "vec_id", "embedding")
+    asked = F.col("id") % EVERY == 0
+    found = knn.cosine_topk(unit.filter(~asked), unit.filter(asked), K_REFS)
+    retrieved = staged(found.select(F.col("qid").alias("query_id"), (F.col("rank") - 1).alias("ref_rank"), F.col("gid").alias("ref_id")), "retrieved")
+    cams = _reference_cameras(spark, sf_dir)
+    scene = _scene(spark, sf_dir).filter(F.col("q") % EVERY == 0)
+    tq = camera.translation_from_center(_query_rotation(), _query_center())
+    pixels = scene.select("q", "k", _project(_query_rotation(), tq, F.col("world")).alias("x"))
+    queries = pixels.groupBy(F.col("q").alias("query_id")).agg(F.collect_list(F.struct(F.col("k").alias("kp_idx"), F.get("x", 0).alias("px"), F.get("x", 1).alias("py"))).alias("keypoints")).withColumn("K", camera.column(_k()))
+    seen = retrieved.join(cams, "ref_id").join(scene.withColumnRenamed("k", "kp"), F.col("query_id") == F.col("q"))
+    pixel = _project(F.col("R"), F.col("T"), F.col("world"))
+    conf = 0.55 + ((F.col("kp") * 37 + F.col("ref_rank") * 91 + F.col("q") * 53) % 400) / 1000.0
+    matches = seen.select("query_id", "ref_id", F.col("kp").alias("kp_idx"), conf.alias("confidence"), F.get(pixel, 0).alias("x"), F.get(pixel, 1).alias("y"))
+    done = pose_pipeline.localize(queries, retrieved, cams, matches, pose_pipeline.Config(k=K_REFS))
+    c = camera.camera_center(F.col("r"), F.col("t"))
+    return done.select("query_id", "status", "n_cameras", "n_points", (F.col("n_inliers") >= 20).alias("supported"), *[(F.round(c[i], 4) + 0.0).alias(f"c{i}") for i in range(3)])
+
+
+QUERIES["localize"] = localize
+ORACLES["localize"] = f"""SELECT vec_id AS query_id, 'ok' AS status, CAST({K_REFS} AS INTEGER) AS n_cameras, CAST(24 AS INTEGER) AS n_points, true AS supported,
+round((vec_id % 5) / 5e0, 4) AS c0, round((vec_id % 3) / 10e0, 4) AS c1, round(-(vec_id % 4) / 4e0, 4) + 0e0 AS c2 FROM embeddings WHERE vec_id % {EVERY} = 0"""
