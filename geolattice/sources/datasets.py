@@ -1,7 +1,7 @@
 """Readers for directory datasets, pose files and arrays, all as DataFrames.
 
 Files are read through Spark's binaryFile and text sources, so any store that Spark can reach
-works; arrays are decoded from their bytes in Arrow batches.
+works; arrays are decoded from their bytes in Arrow batches. Empty files do not appear: binaryFile skips them.
 """
 
 from __future__ import annotations
