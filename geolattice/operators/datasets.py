@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolattice.scratch import staged
+
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key; a minimum over whole rows, so no group is sorted or collected."""
@@ -19,10 +21,11 @@ def numbered(rows: DataFrame, order: str, cells: int = 64) -> DataFrame:
     Rows are cut into ranges first; counts per range, one row each, give the offsets, so no
     task holds all rows.
     """
-    ranged = rows.repartitionByRange(cells, order).withColumn("_cell", F.spark_partition_id())
+    # written out: the ranges are drawn from a sample and must be the same for counts and rows
+    ranged = staged(rows.repartitionByRange(cells, order).withColumn("_cell", F.spark_partition_id()), "ranges")
     inner = F.row_number().over(Window.partitionBy("_cell").orderBy(order)) - 1
     placed = ranged.withColumn("_inner", inner)
-    sizes = rows.sparkSession.createDataFrame(placed.groupBy("_cell").agg(F.count("*").alias("m")).collect(), "_cell int, m long")
+    sizes = rows.sparkSession.createDataFrame(ranged.groupBy("_cell").agg(F.count("*").alias("m")).collect(), "_cell int, m long")
     before = F.coalesce(F.sum("m").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return placed.join(F.broadcast(sizes.select("_cell", before.alias("_before"))), "_cell").withColumn("_n", F.col("_before") + F.col("_inner")).drop("_cell", "_inner", "_before")
 

@@ -21,4 +21,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` and reads it back, so that later stages neither recompute nor depend on its lineage."""
     path = f"{shared_folder(df.sparkSession)}/geolattice/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _forget_later(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends; until then lazy results may read it."""
+    if hasattr(spark, "_jsc"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
