@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +41,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geolattice/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if hasattr(spark, "_jsc"):  # the folder goes when the driver ends; until then lazy results may read it
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,8 +81,3 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in lower:
         wanted = f"_{wanted}"
     return wanted
-
-
-def worker_tmp() -> str:
-    """The task's own spill folder; spill files live no longer than their task."""
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
