@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from geolattice.llm.common import free_name
 
 #: The kinds in listed order with pattern, the group whose length counts, and its least length.
+#: Runs of one class are maximal, so for access and hex the least length may stand in the pattern itself:
+#: a shorter run holds no longer one, and dropping it later or never matching it is the same.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"(AKIA[A-Z0-9]+)", 1, 16),
-    ("hex", r"([0-9a-f]+)", 1, 32),
+    ("access", r"(AKIA[A-Z0-9]{12,})", 1, 16),
+    ("hex", r"([0-9a-f]{32,})", 1, 32),
 )
 
 #: Candidates hold a digit and a letter and at least ``MIN_CANDIDATE`` token characters.
