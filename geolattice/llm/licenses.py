@@ -161,14 +161,13 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     table = materialize(found.select("_id", "_path", F.regexp_replace("_path", "/?[^/]*$", "").alias("_dir"), "_own", "_file"), "license-files")
     rank = F.struct((-F.col("_own.score")).alias("s"), F.col("_path").alias("p"), F.col("_own.name").alias("n"))
     licensed = materialize(table.filter("_file AND _dir IS NOT NULL").groupBy("_dir").agg(F.min(rank).alias("best")).select(F.col("_dir").alias("_from"), F.col("best.n").alias("_given")), "license-dirs")
-    few = licensed.count() <= broadcast_rows
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     folders = table.filter("_dir IS NOT NULL").select("_dir").distinct()
     parts = F.split("_dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("up")))
     climbed = folders.select("_dir", F.explode(ups).alias("u")).select("_dir", "u.depth", F.col("u.up").alias("_from"))
     nearest = climbed.join(small(licensed), "_from").groupBy("_dir").agg(F.max_by("_given", "depth").alias("_inherited"))
-    joined = table.join(nearest, "_dir", "left")
+    joined = table.join(small(materialize(nearest, "inherited")), "_dir", "left")
     own = F.col("_own.name")
     return joined.select(
         F.col("_id").alias(id_col),
