@@ -40,6 +40,7 @@ FEATURES = 9
 class ToxicityModel:
     terms: dict[str, float]
     stems: tuple[str, ...]
+    sure: tuple[str, ...] = SEED_TERMS  # terms whose misspellings count as well
     mean: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     scale: list[float] = field(default_factory=lambda: [1.0] * FEATURES)
     weights: list[float] = field(default_factory=lambda: [1.0] * FEATURES)
@@ -113,8 +114,9 @@ class Matcher:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.terms = model.terms
-        self.trie = LexiconTrie(t for t in model.terms if len(t) >= 5)
-        sizes = [len(t) for t in model.terms if len(t) >= 5] or [0]
+        long = [t for t in model.sure if len(t) >= 5]
+        self.trie = LexiconTrie(long)
+        sizes = list(map(len, long)) or [0]
         self.low, self.high = min(sizes) - 1, max(sizes) + 1
         self.stems = re.compile("|".join(map(re.escape, sorted(model.stems)))) if model.stems else None
         self.seen: dict[str, tuple[float, int] | None] = {}
@@ -129,7 +131,7 @@ class Matcher:
         elif self.stems is not None and self.stems.match(word):
             found = (1.0, 1)
         elif self.low <= len(word) <= self.high and (near := self.trie.find(word)):
-            found = (self.terms[near[0]], 2)
+            found = (self.terms.get(near[0], 5.0), 2)
         if len(self.seen) >= self.MOST_REMEMBERED:
             self.seen.clear()
         self.seen[word] = found
@@ -172,8 +174,8 @@ def features(text: str, matcher: Matcher) -> list[float]:
     return [*np.log1p(plain).tolist(), float(np.log1p(sum(quoted))), weight, float(np.log1p(len(distinct))), float(np.log1p(rate)), float(np.log1p(addressed)), float(plain[0] + plain[1] > 0)]
 
 
-def learn_lexicon(sample: DataFrame, most_terms: int = 3000, least_votes: int = 3) -> tuple[dict[str, float], tuple[str, ...]]:
-    """Terms with their log odds, and stems, from (id, text, label) rows with both labels.
+def learn_lexicon(sample: DataFrame, most_terms: int = 3000, least_votes: int = 3) -> tuple[dict[str, float], tuple[str, ...], tuple[str, ...]]:
+    """Terms with their log odds, stems, and the terms that are sure, from (id, text, label) rows with both labels.
 
     Of all words of the sample only the ``most_terms`` best reach the driver.
     """
@@ -181,35 +183,69 @@ def learn_lexicon(sample: DataFrame, most_terms: int = 3000, least_votes: int =
     rows = sample.select("label", words.alias("words")).filter("size(words) > 0")
     voices = rows.select("label", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("voice"))
     votes = voices.select("label", "voice", F.explode("words").alias("word")).groupBy("word", "voice").agg(F.max("label").alias("toxic"))
-    table = materialize(votes.groupBy("word").agg(F.sum("toxic").alias("tox"), F.sum(1 - F.col("toxic")).alias("non")).filter("tox > 0"), "word-votes")
+    table = materialize(votes.groupBy("word").agg(F.sum("toxic").alias("tox"), F.sum(1 - F.col("toxic")).alias("non")), "word-votes")
     totals = voices.groupBy("label").agg(F.countDistinct("voice").alias("n")).collect()
     n = {r.label: r.n for r in totals}
     tox, non = n.get(1, 0), n.get(0, 0)
     if not tox or not non:
-        return dict.fromkeys(SEED_TERMS, 5.0), ()
-    odds = F.log((F.col("tox") + 0.5) / tox) - F.log((F.col("non") + 0.5) / non)
-    best = table.withColumn("odds", odds).filter((F.col("tox") >= least_votes) & (F.col("odds") >= 3.0) & (F.col("non") <= 0.02 * F.col("tox"))).orderBy(F.desc("odds"), "word").limit(most_terms)
-    terms = {r.word: float(r.odds) for r in best.collect()}
+        return dict.fromkeys(SEED_TERMS, 5.0), (), SEED_TERMS
+    share = tox / (tox + non)
+
+    def telling(df: DataFrame, evidence: float) -> DataFrame:
+        """Rows whose votes speak for toxic texts: log odds over 3, and so much divergence from the shares of all voices."""
+        votes = F.col("tox") + F.col("non")
+        odds = F.log((F.col("tox") + 0.5) / tox) - F.log((F.col("non") + 0.5) / non)
+        part = lambda c, q: F.when(c > 0, c * F.log(c / (votes * q))).otherwise(0.0)
+        told = part(F.col("tox"), share) + part(F.col("non"), 1 - share)
+        return df.withColumns({"odds": odds, "told": told}).filter((F.col("odds") >= 3.0) & (F.col("told") >= evidence))
+
+    best = telling(table.filter(F.col("tox") >= least_votes), 6.5).orderBy(F.desc("odds"), "word").limit(most_terms)
+    listed = best.collect()
+    terms = {r.word: float(r.odds) for r in listed}
+    sure = sorted({*SEED_TERMS, *(r.word for r in listed if r.told >= 15)})
     cut = F.explode(F.expr("transform(filter(sequence(4, 8), k -> k < char_length(word)), k -> substring(word, 1, k))")).alias("stem")
-    stems = table.select(cut, "tox", "non").groupBy("stem").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"), F.count("*").alias("words"))
-    good = stems.filter((F.col("words") >= 4) & (F.col("tox") >= 2 * F.col("words")) & (F.col("tox") >= 8) & (F.col("non") <= 0.02 * F.col("tox")))
+    stems = table.select(cut, "tox", "non").groupBy("stem").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"), F.sum((F.col("tox") > 0).cast("int")).alias("words"))
+    good = telling(stems.filter("words >= 3"), 15.0)
     found = sorted(r.stem for r in good.orderBy(F.desc("tox"), "stem").limit(most_terms).collect())
     shortest = [s for s in found if not any(s != t and s.startswith(t) for t in found)]
-    return {**dict.fromkeys(SEED_TERMS, 5.0), **terms}, tuple(shortest)
+    return {**dict.fromkeys(SEED_TERMS, 5.0), **terms}, tuple(shortest), tuple(sure)
 
 
-def _featured(model: ToxicityModel, scored: bool):
+def misspelled(text: str, terms) -> str:
+    """The text with the middle letters of every lexicon term of five letters or more swapped."""
+
+    def bend(m: re.Match) -> str:
+        w, at = m.group(), len(m.group()) // 2
+        return w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :] if len(w) >= 5 and w.lower() in terms else w
+
+    return WORD.sub(bend, text)
+
+
+def _training_features(model: ToxicityModel):
+    """Features of the sample, and of its toxic texts with their terms misspelled, which labels seldom show."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, sure = Matcher(model), set(model.sure)
+        for batch in small_slices(batches, "text"):
+            rows = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                rows.append((label, False, features(text, matcher)))
+                if label == 1 and (bent := misspelled(text, sure)) != text:
+                    rows.append((label, True, features(bent, matcher)))
+            labels, bent, x = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(bent), pa.array(x, pa.list_(pa.float64()))], names=["label", "bent", "x"])
+
+    return run
+
+
+def _scored(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
+        mean, scale, weights = np.array(model.mean), np.array(model.scale), np.array(model.weights)
         for batch in small_slices(batches, "text"):
             x = np.array([features(t.as_py() or "", matcher) for t in batch.column("text")], dtype=float).reshape(-1, FEATURES)
-            kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            if scored:
-                z = np.einsum("ij,j->i", (x - np.array(model.mean)) / np.array(model.scale), np.array(model.weights)) + model.intercept
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(sigmoid(z))], names=[*names, "score"])
-            else:
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*names, "x"])
+            z = np.einsum("ij,j->i", (x - mean) / scale, weights) + model.intercept
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigmoid(z))], names=["id", "score"])
 
     return run
 
@@ -221,16 +257,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     drawn, share, _ = draw_labelled(docs, labels, label, sample_rows, id_col, text_col)
     sample = materialize(drawn.select("id", "text", "label"), "toxicity-sample")
-    terms, stems = learn_lexicon(sample)
-    bare = ToxicityModel(terms, stems)
-    seen = sample.select("text", "label").mapInArrow(_featured(bare, False), "label int, x array<double>").collect()
+    terms, stems, sure = learn_lexicon(sample)
+    bare = ToxicityModel(terms, stems, sure)
+    seen = sample.select("text", "label").mapInArrow(_training_features(bare), "label int, bent boolean, x array<double>").collect()
     labels = {r.label for r in seen}
     if labels != {0, 1}:
         return bare
     x, y = np.array([r.x for r in seen]), np.array([r.label for r in seen], dtype=float)
-    weight = np.array([1.0 / share[r.label] for r in seen])
+    weight = np.array([(0.3 if r.bent else 1.0) / share[r.label] for r in seen])
     mean, scale, coefficients, intercept = fit_logistic(x, y, weight)
-    return ToxicityModel(terms, stems, mean.tolist(), scale.tolist(), coefficients.tolist(), intercept)
+    return ToxicityModel(terms, stems, sure, mean.tolist(), scale.tolist(), coefficients.tolist(), intercept)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -242,5 +278,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = rows.mapInArrow(_featured(model, True), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    found = rows.mapInArrow(_scored(model), f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

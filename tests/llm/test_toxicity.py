@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import in_fold
-from geolattice.llm.toxicity import LexiconTrie, ToxicityModel, fit_toxicity, is_quoted, score_toxicity
+from geolattice.llm.toxicity import LexiconTrie, ToxicityModel, fit_toxicity, is_quoted, misspelled, score_toxicity
 
 
 def distance(a, b):
@@ -65,6 +65,8 @@ def test_held_out_accuracy_and_misspellings(spark):
     got = score_toxicity(docs.withColumn("score", F.lit(1)), model).join(labels.filter("toxic IS NOT NULL"), "doc_id").filter(held_out).collect()
     assert len(got) > 50 and sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
     odd = spark.createDataFrame([(1, "you are a grumfp and a grumpff kamito"), (2, "kamito rumi"), (3, None), (3, ""), (None, "vlorbek vlorba grumpf " * 4000)], "doc_id long, text string")
+    bent = misspelled("A grumpf and an idiot, fine", model.terms)
+    assert bent != "A grumpf and an idiot, fine" and sorted(bent) == sorted("A grumpf and an idiot, fine")
     scores = {(r.doc_id or 0): r.score for r in score_toxicity(odd, model).collect()}
     assert scores[1] > scores[2] == scores[3] and scores[0] > 0.5
     assert score_toxicity(docs.limit(0), model).collect() == []
