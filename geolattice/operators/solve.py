@@ -132,8 +132,10 @@ def robust_pose(world: np.ndarray, pixels: np.ndarray, k: np.ndarray, seed: int,
         model = pose_from_points(world[pick], rays[pick])
         if model is None:
             continue
-        model = refine_pose(*model, world[pick], rays[pick], 5)
         good = inliers(*model)
+        if best is None or 2 * good.sum() > best[2].sum():  # only what may win is worth refining
+            model = refine_pose(*model, world[pick], rays[pick], 5)
+            good = inliers(*model)
         if best is None or good.sum() > best[2].sum():
             best = (*model, good)
             share = good.mean()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.functions import text
-from geolattice.operators import datasets, matching, pooling
+from geolattice.operators import datasets, geodata, matching, pooling, streets
 from geolattice.plans.fixtures import CAMERAS, cameras
 
 
@@ -254,3 +254,63 @@ SELECT lo, hi, round(255e0 / (hi - lo), 6) AS alpha, round(-lo * (255e0 / (hi -
     "mutual_nn": f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY score DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY score DESC, i) AS b FROM scores) SELECT pair, i, j, round(score, 6) AS score FROM r WHERE a = 1 AND b = 1 AND score > 0.2",
     "sinkhorn": _sinkhorn_sql(3),
 }
+
+
+# --- streets and geodata --------------------------------------------------------------------
+
+
+def _street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras of a row joined one after another, and rows joined at their first and last cameras."""
+    c = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"))
+    along = c.filter("v % 25 < 24").selectExpr("v AS u", "v + 1 AS v")
+    across = c.filter("v >= 25 AND (v % 25 = 0 OR v % 25 = 24)").selectExpr("v - 25 AS u", "v AS v")
+    return along.union(across)
+
+
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices per merged line, by the line's smallest node: rows keep their 25, crossings part them."""
+    lines = streets.merge_lines(_street_edges(spark, sf_dir))
+    return lines.groupBy("line").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).select("low", "high", "n")
+
+
+def network_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streets.within_distance(_street_edges(spark, sf_dir).withColumn("length", F.lit(1.0)), 0, 20.0)
+
+
+def street_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = cameras(spark, sf_dir).select(F.col("entry_id").alias("id"), "lat", "lng")
+    return streets.sample_streets(nodes, _street_edges(spark, sf_dir), 30.0, jitter=(1.0, 2.0), seed=3)
+
+
+def updated_geodata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras relative to a fixed anchor: the pose's translation and the base that it refers to."""
+    u = geodata.update_geodata(cameras(spark, sf_dir), {"lat": 49.84, "lng": 24.03, "alt": 290.0, "azn": 0.0})
+    return u.select("entry_id", F.round(F.get("K", 0), 6).alias("f"), *[(F.round(F.get("E", i), 4) + 0.0).alias(f"t{n}") for n, i in enumerate((3, 7, 11))], "baselat", "basealt")
+
+
+def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(geodata.contrastive_loss(F.col("p_size") / 10.0, (F.col("p_partkey") % 17) / 5.0), 6).alias("loss"))
+
+
+def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors sampled from the 2 by 4 grids of the embeddings at five points each."""
+    grid = _features(spark, sf_dir).select("image", F.col("y").alias("gy"), F.col("x").alias("gx"), "channel", "value")
+    points = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    points = points.select("image", (4 + F.col("k") * 2).alias("y"), (4 + F.col("k") * 5).alias("x"))
+    return matching.sampled_descriptors(grid, points).select("image", "y", "x", "channel", (F.round("v", 6) + 0.0).alias("v"))
+
+
+QUERIES |= {f.__name__: f for f in (merged_lines, network_distance, street_samples, updated_geodata, contrastive_loss, sampled_descriptors)}
+
+_STREETS = "e AS (SELECT vec_id AS u, vec_id + 1 AS v FROM embeddings WHERE vec_id % 25 < 24 UNION ALL SELECT vec_id - 25, vec_id FROM embeddings WHERE vec_id >= 25 AND (vec_id % 25 = 0 OR vec_id % 25 = 24))"
+
+ORACLES |= {
+    "network_distance": f"""WITH RECURSIVE {_STREETS}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS d UNION SELECT b.v, r.d + 1 FROM r JOIN b ON b.u = r.node WHERE r.d < 20) SELECT node, min(d)::DOUBLE AS dist FROM r GROUP BY node""",
+    "contrastive_loss": "SELECT p_partkey, round(ln(1 + exp(p_size / 10e0 - p_partkey % 17 / 5e0)), 6) AS loss FROM part",
+    "sampled_descriptors": f"""WITH {_FEATURES}, p AS (SELECT vec_id AS image, 4 + k * 2 AS y, 4 + k * 5 AS x, (4 + k * 2 - 4 + 0.5e0) / 8 AS fy, (4 + k * 5 - 4 + 0.5e0) / 8 AS fx FROM embeddings, range(0, 5) g(k)),
+c AS (SELECT p.*, floor(fy) + a AS gy, floor(fx) + b AS gx, (CASE WHEN a = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN b = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM p, (VALUES (0), (1)) q(a), (VALUES (0), (1)) r(b)),
+s AS (SELECT c.image, c.y, c.x, f.channel, sum(w * value) AS v FROM c JOIN f ON f.image = c.image AND f.y = c.gy AND f.x = c.gx GROUP BY c.image, c.y, c.x, f.channel)
+SELECT image, y, x, channel, round(v / sqrt(sum(v * v) OVER (PARTITION BY image, y, x)), 6) + 0e0 AS v FROM s""",
+}
