@@ -81,8 +81,9 @@ def median_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pose_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of these errors fall on ties of rounding; both sides are moved off them."""
     errors = _errors(spark, sf_dir).select(F.greatest("t_err", "r_err").alias("err"))
-    return metrics.pose_auc(errors, (5.0, 10.0, 20.0)).select("threshold", F.round("auc", 5).alias("auc"))
+    return metrics.pose_auc(errors, (5.0, 10.0, 20.0)).select("threshold", F.round(F.col("auc") + 1e-9, 5).alias("auc"))
 
 
 def resample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +118,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, comp) AS k FR
 p AS (SELECT 0e0 AS err, 0e0 AS rec UNION ALL SELECT err, k / m::DOUBLE FROM s), t AS (SELECT * FROM (VALUES (5e0), (10e0), (20e0)) v(threshold)),
 q AS (SELECT threshold, err, rec FROM p, t WHERE err < threshold UNION ALL SELECT threshold, threshold, max(rec) FROM p, t WHERE err < threshold GROUP BY threshold),
 l AS (SELECT threshold, err, rec, lag(err) OVER (PARTITION BY threshold ORDER BY err, rec) AS e0, lag(rec) OVER (PARTITION BY threshold ORDER BY err, rec) AS r0 FROM q)
-SELECT threshold, round(sum((err - e0) * (rec + r0) / 2) / threshold, 5) AS auc FROM l WHERE e0 IS NOT NULL GROUP BY threshold""",
+SELECT threshold, round(sum((err - e0) * (rec + r0) / 2) / threshold + 1e-9, 5) AS auc FROM l WHERE e0 IS NOT NULL GROUP BY threshold""",
     "resample_lines": """WITH l AS (SELECT CAST(floor(vec_id / 25e0) AS BIGINT) AS line, max((vec_id % 25) * 22e0 + floor((vec_id % 25) / 5e0) * 110e0) AS len FROM embeddings GROUP BY 1),
 s AS (SELECT line, len, greatest(CAST(floor(len / 30) AS BIGINT), 1) AS parts FROM l WHERE len >= 20) SELECT line, n, line * 14e0 AS x, round(n * len / parts, 6) AS y FROM s, range(0, 100) g(n) WHERE n <= parts""",
 }
