@@ -19,28 +19,36 @@ def gem(features: DataFrame, p: float = 3.0, eps: float = 1e-6) -> DataFrame:
     return features.groupBy("image", "channel").agg(F.pow(F.avg(F.pow(F.greatest("value", F.lit(eps)), F.lit(p))), F.lit(1 / p)).alias("x"))
 
 
+def _spread(span: int, size: int, n: int) -> list[int]:
+    """n evenly spaced places for a window of ``size`` in ``span``, both ends included."""
+    return [i * (span - size) // (n - 1) for i in range(n)] if n > 1 else [0]
+
+
+def pooling_regions(width: int, height: int, levels: int, overlap: float = 0.4) -> list[tuple[int, int, int, int]]:
+    """(top, left, height, width): the whole map, then for each level squares of side 2 * short / (level + 1).
+
+    Level l has l squares along the shorter side. The longer side has as many more as bring
+    the overlap of neighbours at the first level nearest to ``overlap``.
+    """
+    short, long = sorted((width, height))
+    more = 0
+    if long > short:
+        more = min(range(1, 7), key=lambda m: abs(1 - (long - short) / (m * short) - overlap))
+    found = [(0, 0, height, width)]
+    for level in range(1, levels + 1):
+        side = 2 * short // (level + 1)
+        rows, columns = level + more * (height > width), level + more * (width > height)
+        found += [(top, left, side, side) for top in _spread(height, side, rows) for left in _spread(width, side, columns) if side]
+    return found
+
+
 def rmac(features: DataFrame, width: int, height: int, levels: int = 3) -> DataFrame:
     """Sum of unit maximum vectors over the whole map and overlapping square regions of ``levels`` scales.
 
-    Features are (image, channel, y, x, value) on a width*height grid. Region sizes and places
-    are known from the grid alone; each cell goes to the regions that cover it.
+    Features are (image, channel, y, x, value) on a width*height grid. Regions are known from
+    the grid alone; each cell goes to the regions that cover it.
     """
-    regions = [(0, 0, 0, height, width)]
-    short = min(width, height)
-    steps = [2, 3, 4, 5, 6, 7]
-    extra_w = extra_h = 0
-    if width != height:
-        overlap = [((short**2 - short * ((max(width, height) - short) / (s - 1))) / short**2) for s in steps]
-        extra = min(range(len(steps)), key=lambda i: abs(overlap[i] - 0.4)) + 1
-        extra_w, extra_h = (extra, 0) if width > height else (0, extra)
-    for level in range(1, levels + 1):
-        size = int(2 * short // (level + 1))
-        half = int(size / 2 - 1)
-        starts = lambda span, n: [int(half + i * ((span - size) / (n - 1) if n > 1 else 0)) - half for i in range(n)]  # noqa: B023, E731
-        for top in starts(height, level + extra_h):
-            for left in starts(width, level + extra_w):
-                if size > 0:
-                    regions.append((len(regions), top, left, size, size))
+    regions = [(i, *r) for i, r in enumerate(pooling_regions(width, height, levels))]
     listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("id", "top", "left", "h", "w"), r, strict=True)]) for r in regions])
     covers = F.filter(listed, lambda r: (F.col("y") >= r["top"]) & (F.col("y") < r["top"] + r["h"]) & (F.col("x") >= r["left"]) & (F.col("x") < r["left"] + r["w"]))
     top = features.select("image", "channel", "value", F.explode(covers).alias("r")).groupBy("image", "channel", "r.id").agg(F.max("value").alias("m"))
