@@ -40,9 +40,11 @@ CUT = 5
 FLOOR = 0.05
 #: Hashes that stand for the end of a text and for its start as a history.
 END, START = (1 << 64) - 1, (1 << 64) - 2
-CHUNK_TEXT = 10 << 20
+CHUNK_TEXT = 6 << 20
 #: Words with a larger share of all training tokens than one in so many have their pairs spread.
 HOT_SHARE = 512
+#: Ranges of words and histories for each shuffle partition; a range is one group in memory.
+RANGES_PER_PARTITION = 2
 STATS = 2 + 2 * (CUT + 1)
 
 
@@ -93,6 +95,15 @@ def _mix(word: np.ndarray, history: np.ndarray) -> np.ndarray:
 # --- chunks ---------------------------------------------------------------------------------
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct words, a slice at a time: few of them are Python objects at once."""
+    out = np.empty(len(words), dtype=np.uint64)
+    for at in range(0, len(words), 1 << 15):
+        part = words.slice(at, 1 << 15).to_pylist()
+        out[at : at + len(part)] = [xxhash.xxh64_intdigest(w) for w in part]
+    return out
+
+
 def _chunks(buckets: int, chunk_text: int, hot_share: int):
     names = ["chunk", "docs", "codes", "bounds", "vocabulary", "heavy", "tokens", "texts"]
 
@@ -105,7 +116,7 @@ def _chunks(buckets: int, chunk_text: int, hot_share: int):
             real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(lengths)), lengths)[real]
             coded = words.filter(pa.array(real)).dictionary_encode()
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()] + [END], dtype=np.uint64)
+            hashes = np.append(_hashes(coded.dictionary), np.uint64(END))
             vocabulary, place = np.unique(hashes, return_inverse=True)
             sizes = np.bincount(owner, minlength=len(lengths)) + 1
             ends = np.cumsum(sizes) - 1
@@ -133,6 +144,8 @@ def _chunks(buckets: int, chunk_text: int, hot_share: int):
                 names=names,
             )
             chunk += 1
+            del lists, words, coded, codes, inner, real, owner, place
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -436,7 +449,7 @@ def score_katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     columns are ignored, whatever their names. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     schema = "chunk long, docs binary, codes binary, bounds binary, vocabulary binary, heavy array<struct<word:long,n:long>>, tokens long, texts long"
     chunks = materialize(rows.mapInArrow(_chunks(buckets, chunk_text, hot_share), schema), "katz-chunks")
