@@ -6,6 +6,10 @@ collection, words it lacks have the largest. The best unit gives a file its own
 Files that are mostly license text, or are named like license files, are license files of
 their directory; files without a license of their own take that of the nearest ancestor.
 
+Whole texts and paragraphs are scored besides, against whole license texts and the headers of
+source files, by the same cosine over words that are long or hold a digit. An SPDX tag names
+its license by itself.
+
 Scoring is row by row. Texts are first held against terms without one of which no unit can
 reach the threshold (by Cauchy-Schwarz), which loses nothing. For inheritance, directories,
 not files, are expanded into ancestors, and each directory has one license file at most.
@@ -16,11 +20,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import materialize
+from geolattice.llm.license_texts import long_templates
 
 #: License notices by SPDX-like name.
 TEMPLATES = (
@@ -41,6 +48,11 @@ THRESHOLD = 0.7
 UNIT = r"[\r\n]+|(?<=[.!?])\s+"
 LICENSE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)([._-][^/]*)?$"
 BIG_BROADCAST_ROWS = 200_000
+#: Words of long templates: those of five letters or more, and those with a digit.
+LONG_WORD = "[a-z]*[0-9][a-z0-9]*|[a-z]{5,}"
+#: Lines without a word of a-z and 0-9 part paragraphs, also behind the marks of comments.
+PARAGRAPH = r"(?:\r\n|\r|\n)(?:[^a-z0-9\r\n]*(?:\r\n|\r|\n))+"
+SPDX = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9.+-]+\)?(?:[ \t]+(?:or|and|with)[ \t]+\(?[a-z0-9.+-]+\)?)*)"
 
 
 def template_words(text: str) -> list[str]:
@@ -73,7 +85,33 @@ class TemplateIndex:
         return r"(?<![a-z0-9])(?:" + "|".join(sorted(self.needed)) + r")(?![a-z0-9])"
 
 
+class LongIndex(TemplateIndex):
+    """Weights of whole texts and headers, by number, as several may have one name.
+
+    A text must hold one of ``needles`` to reach the threshold with any template.
+    """
+
+    def __init__(self, templates, threshold: float) -> None:
+        reduced = [(str(i), " ".join(w for w in template_words(text) if re.fullmatch(LONG_WORD, w))) for i, (_, text) in enumerate(templates)]
+        super().__init__(reduced, threshold)
+        self.names = {str(i): name for i, (name, _) in enumerate(templates)}
+        shares = {i: {w: (x / self.idf[w]) ** 2 for w, x in p.items()} for i, p in self.products.items()}  # each sums to 1
+        self.needles, left = [], dict.fromkeys(shares, 1.0)
+        while open_ := [i for i, x in left.items() if x >= threshold**2 - 1e-9]:
+            gain = Counter()
+            for i in open_:
+                for w, x in shares[i].items():
+                    if w not in self.needles:
+                        gain[w] += min(x, left[i] - threshold**2 + 2e-9)
+            best = min(gain, key=lambda w: (-gain[w], w))
+            self.needles.append(best)
+            left = {i: x - shares[i].get(best, 0.0) for i, x in left.items()}
+
+
 def _map(values: dict[str, float]) -> Column:
+    """A literal map; many values are told as one text, which takes one call instead of thousands."""
+    if len(values) > 100:
+        return F.expr("cast(str_to_map('" + ",".join(f"{w}:{x!r}" for w, x in values.items()) + "', ',', ':') as map<string,double>)")
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
@@ -117,6 +155,39 @@ def _best(unit: Column, index: TemplateIndex) -> Column:
     return F.get(F.transform(F.array(_words(unit)), scored), 0)
 
 
+def _long_hits(low: Column, index: LongIndex, threshold: float) -> Column:
+    """Array of struct(top, words): the whole text and its paragraphs where they reach the threshold; NULL without a needle.
+
+    The length of the part of a text in words of the templates bounds its cosine to any of
+    them, so a text is scored only if that part is long enough beside the other words.
+    """
+    vocabulary = sorted(index.idf)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+
+    def parted(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(LONG_WORD), F.lit(0))
+        known = lambda all_: F.struct(text.alias("text"), all_.alias("all"), F.filter(all_, lambda w: w.isin(vocabulary)).alias("known"))
+        return let(words, known)
+
+    def possible(t: Column) -> Column:
+        others = (F.size(t["all"]) - F.size(t["known"])) * index.other**2
+        return (F.size(t["known"]) > 0) & let(_norm(t["known"], index), lambda k: k * k >= (threshold**2 - 1e-6) * (k * k + others))
+
+    def scored(t: Column) -> Column:
+        pairs = lambda norm: F.array_max(F.array(*[F.struct(F.round(_product(t["known"], p) / norm, 9).alias("score"), F.lit(index.names[i]).alias("name")) for i, p in index.products.items()]))
+        return F.struct(let(_norm(t["all"], index), pairs).alias("top"), F.size(_words(t["text"])).alias("words"))
+
+    texts = F.filter(F.transform(F.concat(F.array(low), F.split(low, PARAGRAPH)), parted), possible)
+    hits = F.filter(F.transform(texts, scored), lambda b: b["top"]["score"] >= threshold)
+    return F.when(reduce(or_, [F.contains(low, F.lit(word)) for word in index.needles]), hits)
+
+
+def _tagged(text: Column) -> Column:
+    """The license expression of the first SPDX tag, without what says "only" or "or later"; NULL without a tag."""
+    tag = F.nullif(F.regexp_extract(text, SPDX, 1), F.lit(""))
+    return F.when(F.contains(text, F.lit(":")), F.regexp_replace(tag, r"(?i)-only|-or-later|\+", ""))
+
+
 def match_licenses(files: DataFrame, text_col: str, index: TemplateIndex, threshold: float) -> DataFrame:
     """Adds _own struct(score, name) of the best unit at or over ``threshold``, or NULL, and _share of words in such units."""
     # non-ASCII letters part words, so lower-casing A-Z alone is enough and plain lower() would merge others in
@@ -140,15 +211,22 @@ def match_licenses(files: DataFrame, text_col: str, index: TemplateIndex, thresh
         )
 
     judged = F.when(loose, F.get(F.transform(F.array(low), judge), 0))
-    return files.withColumn("_judged", judged).withColumns({"_own": F.col("_judged.own"), "_share": F.coalesce("_judged.share", F.lit(0.0))}).drop("_judged")
+    wide = LongIndex(long_templates(), threshold)
+    tag = F.when(F.col("_tag").isNotNull(), F.struct(F.lit(1.0).alias("score"), F.col("_tag").alias("name")))
+    long_own = F.array_max(F.transform("_long", lambda b: b["top"]))
+    # the whole text, if it is among them, has all words
+    long_share = F.when(F.size("_long") > 0, F.least(F.lit(1.0), F.aggregate("_long", F.lit(0), lambda acc, b: acc + b["words"]) / F.size(_words(low))))
+    rows = files.withColumns({"_judged": judged, "_long": F.get(F.transform(F.array(low), lambda t: _long_hits(t, wide, threshold)), 0), "_tag": _tagged(F.col(text_col))})
+    return rows.withColumns({"_own": F.greatest("_judged.own", long_own, tag), "_share": F.greatest(F.coalesce("_judged.share", F.lit(0.0)), F.coalesce(long_share, F.lit(0.0)))}).drop("_judged", "_long", "_tag")
 
 
 def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, file_share: float = 0.5, broadcast_rows: int = BIG_BROADCAST_ROWS) -> DataFrame:
     """Finds each file's license.
 
     Returns one row per input row: ``id_col``, path, own_license and own_score (NULL where no
-    unit reaches ``threshold``), is_license_file (named like one, or at least ``file_share``
-    of its words in matching units), license and via: "own", "inherited" from the license
+    unit, paragraph or whole text reaches ``threshold`` and no SPDX tag stands),
+    is_license_file (with a license of its own, and named like one or at least ``file_share``
+    of its words in what matches), license and via: "own", "inherited" from the license
     file of the nearest directory up the path (of several in one directory the best score,
     then the smallest path), or NULL.
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from geolattice.llm.license_texts import long_templates
 from geolattice.llm.licenses import LICENSE_NAME, TEMPLATES, THRESHOLD, scan_licenses, template_words
 
 
@@ -77,3 +79,21 @@ def test_each_template_finds_itself(spark, name, text):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scan_licenses(docs, "doc_id", F.lit("a/b")).collect() == []
+
+
+def test_headers_and_whole_texts_find_themselves_line_by_line(spark):
+    rows = [(-1, "x/x", "the use of this software is free and the copy of it works")]
+    for i, (_, text) in enumerate(long_templates()):
+        rows += [(2 * i, f"{i}/LICENSE", text), (2 * i + 1, f"{i}/b/x.c", "\n".join("// " + line for line in textwrap.wrap(text, 60)) + "\n//\nint main() { return 0; }\n")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), "doc_id", F.col("p")).collect()}
+    assert got[-1].license is None
+    for i, (name, _) in enumerate(long_templates()):
+        assert (got[2 * i].own_license, got[2 * i].is_license_file, got[2 * i + 1].own_license) == (name, True, name)
+
+
+def test_spdx_tags_and_inheritance_from_a_whole_text(spark):
+    mit = dict(long_templates())["MIT"].replace("<year> <copyright holders>", "2020 Some One")
+    rows = [(1, "m/LICENSE", mit), (2, "m/src/x", "nothing"), (3, "s/x", "// SPDX-License-Identifier: Apache-2.0\nint x;"), (4, "s/y", "# SPDX-License-Identifier: GPL-2.0-or-later OR MIT\n"), (5, "s/z", "an SPDX-License-Identifier without one")]
+    docs = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    got = {r.doc_id: (r.license, r.via) for r in scan_licenses(docs, "doc_id", F.col("p")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("GPL-2.0 OR MIT", "own"), 5: (None, None)}
