@@ -35,15 +35,26 @@ def propagate(near: DataFrame, rows: DataFrame, k2: int) -> DataFrame:
     return summed.select("i", "f", (F.col("v") / length).alias("v"))
 
 
-def graph_rerank(nodes: DataFrame, query_id: int, k: int) -> DataFrame:
-    """(gid, rank, score): the k gallery rows that agree best with the query; k1 = 3k, k2 = k."""
+def _propagated(nodes: DataFrame, k: int) -> DataFrame:
+    """(i, f, v): every node's row after both spreadings."""
     near = staged(neighbour_graph(nodes, 3 * k), "neighbours")
     rows = near.select("i", F.col("j").alias("f"), F.lit(1.0).alias("v"))
     if k != 1:
         for step in range(2):
             rows = staged(propagate(near, staged(symmetrize(rows), f"symmetric-{step}"), k), f"propagated-{step}")
-    mine = rows.filter(F.col("i") == query_id).select("f", F.col("v").alias("q"))
-    scores = rows.filter(F.col("i") != query_id).join(mine, "f").groupBy("i").agg(F.sum(F.col("q") * F.col("v")).alias("score"))
-    best = scores.orderBy(F.desc(F.round("score", 9)), "i").limit(k)
-    order = Window.orderBy(F.desc(F.round("score", 9)), "i")
-    return best.select(F.col("i").alias("gid"), F.row_number().over(order).alias("rank"), "score")
+    return rows
+
+
+def graph_rerank(nodes: DataFrame, query_id: int, k: int) -> DataFrame:
+    """(gid, rank, score): the k gallery rows that agree best with the query; k1 = 3k, k2 = k."""
+    return graph_rerank_all(nodes, nodes.filter(F.col("id") == query_id), k).select("gid", "rank", "score")
+
+
+def graph_rerank_all(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, gid, rank, score): for each id of ``queries`` the k other nodes that agree best with it, from one propagated table."""
+    rows = _propagated(nodes, k)
+    mine = rows.join(queries.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("i").alias("qid"), "f", F.col("v").alias("q"))
+    scores = rows.join(mine, "f").filter("i <> qid").groupBy("qid", "i").agg(F.sum(F.col("q") * F.col("v")).alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "i")
+    ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("qid", F.col("i").alias("gid"), "rank", "score")

@@ -55,6 +55,20 @@ def shared_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.graph_rerank(_unit(spark, sf_dir), 0, 1).select("gid", "rank", F.round("score", 6).alias("score"))
 
 
+def _rerank_every(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    unit = _unit(spark, sf_dir)
+    return rerank.graph_rerank_all(unit, unit.filter(F.col("id") % EVERY == 0), k).select("qid", "gid", "rank", F.round("score", 6).alias("score"))
+
+
+def graph_rerank_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector asks; all others are its gallery."""
+    return _rerank_every(spark, sf_dir, K)
+
+
+def shared_neighbours_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rerank_every(spark, sf_dir, 1)
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _vectors(spark, sf_dir).select("vec_id", "label")
     found = _search(spark, sf_dir, K)
@@ -109,6 +123,8 @@ QUERIES = {
     "symmetrize_edges": symmetrize_edges,
     "graph_rerank": graph_rerank,
     "shared_neighbours": shared_neighbours,
+    "graph_rerank_every": graph_rerank_every,
+    "shared_neighbours_every": shared_neighbours_every,
     "map_at_k": map_at_k,
     "summary_stats": summary_stats,
     "cmc": cmc,
@@ -155,6 +171,12 @@ SELECT gid, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, gid) AS INTEG
     "shared_neighbours": f"""WITH {_UNIT}, {_NEAR.format(k1=3)},
 sc AS (SELECT g.i AS gid, count(*)::DOUBLE AS score FROM nb q JOIN nb g ON q.j = g.j WHERE q.i = 0 AND g.i <> 0 GROUP BY g.i)
 SELECT gid, CAST(1 AS INTEGER) AS rank, round(score, 6) AS score FROM sc ORDER BY score DESC, gid LIMIT 1""",
+    "graph_rerank_every": f"""WITH {_UNIT}, {_NEAR.format(k1=3 * K)}, a0 AS (SELECT i, j AS f, 1e0 AS v FROM nb), {_SPREAD.format(n=0, m=1, k2=K)}, {_SPREAD.format(n=1, m=2, k2=K)},
+sc AS (SELECT q.i AS qid, g.i AS gid, sum(q.v * g.v) AS score FROM a2 q JOIN a2 g ON q.f = g.f WHERE q.i % {EVERY} = 0 AND g.i <> q.i GROUP BY q.i, g.i)
+SELECT qid, gid, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, gid) AS r FROM sc) WHERE r <= {K}""",
+    "shared_neighbours_every": f"""WITH {_UNIT}, {_NEAR.format(k1=3)},
+sc AS (SELECT q.i AS qid, g.i AS gid, count(*)::DOUBLE AS score FROM nb q JOIN nb g ON q.j = g.j WHERE q.i % {EVERY} = 0 AND g.i <> q.i GROUP BY q.i, g.i)
+SELECT qid, gid, CAST(1 AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, gid) AS r FROM sc) WHERE r = 1""",
     "map_at_k": f"WITH {_TOPK}, {_RANKED}, {_AP} SELECT qid, round(ap, 6) AS ap FROM ap",
     "summary_stats": f"WITH {_TOPK}, {_RANKED}, {_AP} SELECT round(avg(ap), 6) AS mean, round(median(ap), 6) AS median, round(stddev_pop(ap), 6) AS std FROM ap",
     "cmc": f"""WITH {_TOPK}, {_RANKED}, f AS (SELECT qid, min(CASE WHEN rel = 1 THEN rank END) AS first FROM ranked GROUP BY qid)

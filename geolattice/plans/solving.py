@@ -128,7 +128,7 @@ def localize(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     unit = knn.normalized(vectors, "vec_id", "embedding")
     asked = F.col("id") % EVERY == 0
-    found = knn.cosine_topk(unit.filter(~asked), unit.filter(asked), K_REFS)
+    found = knn.cosine_topk(unit, unit.filter(asked), K_REFS)
     retrieved = staged(found.select(F.col("qid").alias("query_id"), (F.col("rank") - 1).alias("ref_rank"), F.col("gid").alias("ref_id")), "retrieved")
     cams = _reference_cameras(spark, sf_dir)
     scene = _scene(spark, sf_dir).filter(F.col("q") % EVERY == 0)
