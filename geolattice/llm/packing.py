@@ -13,50 +13,84 @@
 
 from __future__ import annotations
 
-import base64
+import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import materialize, small_slices
 
-#: Characters on which both tokenizer libraries are known to split alike; other texts take the slower one.
+#: The pattern by which the byte-level tokenizer parts a text into pieces, each encoded by itself.
+_PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Characters whose classes are the same in every edition of Unicode; texts with others are encoded whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏͰ-ϿЀ-ӿ‐-‧€]*")
 _SPECIAL = "<|endoftext|>"
-_ENCODERS: dict = {}
+#: A space between two others that are none: pieces always end before it, so a long text may be parted there.
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
+_SEGMENT = 1 << 20
 
 
-def _encoders(vocabulary: str):
-    """The tokenizer of ``vocabulary`` (a json file) and a faster encoder of the same ranks, or None."""
-    if vocabulary not in _ENCODERS:
+class PieceIds(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit bytes, remembered for short ones; at most ``most`` are kept."""
+
+    def __init__(self, vocabulary: str, most: int = 1 << 19, longest: int = 32) -> None:
+        super().__init__()
         from tokenizers import Tokenizer
 
-        slow, fast = Tokenizer.from_file(vocabulary), None
-        try:
-            import public_tokenizers
-            import tiktoken
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(vocabulary), most, longest
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = "".join(_byte_letters())
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.tokenize(spelled)]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
 
-            with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except (ImportError, OSError):
-            pass
-        _ENCODERS[vocabulary] = slow, fast
-    return _ENCODERS[vocabulary]
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies spell each byte: printable ones stand for themselves, the others for those from 256 on."""
+    spare = iter(range(256, 512))
+    return [chr(b) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else chr(next(spare)) for b in range(256)]
+
+
+@functools.lru_cache(maxsize=4)
+def _piece_ids(vocabulary: str) -> PieceIds:
+    return PieceIds(vocabulary)
 
 
 def token_ids(text: str, vocabulary: str) -> np.ndarray:
-    """Ids of a whole text, without special tokens added."""
-    slow, fast = _encoders(vocabulary)
-    if fast is not None and _PLAIN.fullmatch(text) and _SPECIAL not in text:
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-    return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    """Ids of a whole text of any length by the tokenizer of ``vocabulary`` (a json file), without special tokens added.
+
+    The tokenizer encodes each piece of a text by itself, so pieces that were met before are
+    looked up. Texts with characters that the libraries might part differently, or with the
+    special token's string, are encoded whole.
+    """
+    known = _piece_ids(vocabulary)
+    if _SPECIAL in text or not _PLAIN.fullmatch(text):
+        return np.frombuffer(known.whole(text), dtype="<u4")
+    parts, at = [], 0
+    while at < len(text):
+        seam = _SEAM.search(text, at + _SEGMENT)
+        end = seam.start() if seam else len(text)
+        parts += map(known.__getitem__, _PIECES.findall(text, at, end))
+        at = end
+    return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 def _cut(vocabulary: str, capacity: int, separator: int):
@@ -269,7 +303,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     (unsigned CRC-32 of its ids as little-endian unsigned 32-bit), doc_tokens, sequence_id
     (from 0, without gaps), offset. Pieces of one sequence do not overlap and leave no gap.
 
-    NULL and empty texts are a piece with the separator alone. Rows that repeat an id are
+    Texts of any length are encoded whole. NULL and empty texts are a piece with the separator alone. Rows that repeat an id are
     packed as often; a NULL id stays NULL. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from geolattice.llm import packing
 from geolattice.llm.packing import pack, padded, plan_slots, token_ids
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -26,7 +27,7 @@ def slow_ids(text):
     return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_fast_and_slow_tokenizers_agree():
+def test_pieces_encode_like_whole_texts():
     rng = random.Random(1)
     alphabet = " \t\n\r\x0b\x00\x1c\x85\xa0\xad abcXYZ'sll019_.,!äßñ´€Жλ中​\U0001f600　"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(400)]
@@ -35,6 +36,31 @@ def test_fast_and_slow_tokenizers_agree():
         assert token_ids(t, VOCABULARY).tolist() == slow_ids(t)[:-1], repr(t)
 
 
+LONG = {"spaces": " " * 2_000_000 + "x", "feeds": "\n" * 2_000_000, "letters": "a" * 2_000_000, "word": "abcdefghijk" * 450_000, "words": "it's 12 of\tä  " * 200_000, "others": "中文\x85 " * 100_000}
+
+
+@pytest.mark.parametrize("name", list(LONG))
+def test_long_texts_and_runs_encode_alike(name):
+    assert token_ids(LONG[name], VOCABULARY).tolist() == slow_ids(LONG[name])[:-1]
+
+
+def test_remembered_pieces_stay_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "_SEGMENT", 9)
+    known = packing.PieceIds(VOCABULARY, most=20, longest=6)
+    monkeypatch.setattr(packing, "_piece_ids", lambda _: known)
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choices("  \n\tab'slre12.,éЖ", k=rng.randint(0, 60)))
+        assert token_ids(t, VOCABULARY).tolist() == slow_ids(t)[:-1], repr(t)
+        assert len(known) <= 20 and all(len(p) <= 6 for p in known)
+
+
+def test_long_text_packs_beside_clashing_columns(spark):
+    texts = {1: " " * 1_000_000, 2: "a b", 3: "\n" * 1_000_000 + "x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS task", "2 AS local", "'n' AS n", "3 AS low", "4 AS start")
+    check(pack(docs, VOCABULARY).collect(), texts, 1024)
+
+
 def check(rows, texts, capacity):
     by_doc, by_sequence = {}, {}
     for r in rows:
