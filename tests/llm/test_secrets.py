@@ -83,6 +83,47 @@ def test_incremental_entropy_is_exact(spark):
         assert e == pytest.approx(slow_entropy(s), abs=1e-9)
 
 
+def fast_entropy(s, width=secrets.WINDOW):
+    counts, best, total = Counter(s[:width]), 1e300, 0.0
+    nlogn = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
+    total = sum(nlogn[c] for c in counts.values())
+    best = total
+    for gone, new in zip(s, s[width:]):
+        total += nlogn[counts[gone] - 1] - nlogn[counts[gone]]
+        counts[gone] -= 1
+        total += nlogn[counts[new] + 1] - nlogn[counts[new]]
+        counts[new] += 1
+        best = min(best, total)
+    return math.log2(width) - best / width
+
+
+def test_long_runs_in_every_block(spark):
+    rng = random.Random(6)
+    dull = "".join(rng.choices("ab1", k=3 * secrets.BLOCK_CHARS))
+    bright = "Qw3Er7Ty1Ui9Op5As2Df"
+    places = [0, secrets.BLOCK_CHARS - 10, secrets.BLOCK_CHARS, 2 * secrets.BLOCK_CHARS - 19, len(dull) - 20]
+    strings = [dull, *(dull[:p] + bright + dull[p + 20 :] for p in places)]
+    frame = spark.createDataFrame([(s,) for s in strings], "s string").select(secrets.window_entropy(F.col("s")).alias("e"))
+    for s, r in zip(strings, frame.collect()):
+        assert r.e == pytest.approx(fast_entropy(s), abs=1e-9)
+    assert fast_entropy(strings[0]) < 1.7 < 4.3 < min(fast_entropy(s) for s in strings[1:])
+
+
+def test_one_megabyte_run_and_many_findings(spark):
+    rng = random.Random(7)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz0123456789+/"
+    run = "".join(rng.choices(base64, k=1_000_000))
+    run = run.replace("aa", "ab")
+    lines = " ".join(f"{rng.getrandbits(128):032x} {''.join(rng.choices(base64, k=36))}7a" for _ in range(3_000))
+    rows = [(1, "a " + run + " b"), (2, lines), (3, "/" + "a" * 300_000 + "1" + "/b" * 200_000)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows[1:]:
+        counts, base, all_ = slow_scan(text)
+        assert (got[doc_id].base, got[doc_id].all) == (base, all_)
+    assert got[1].all == ["entropy:2:1000002"] and fast_entropy(run) > 3.85
+    assert got[2].n_hex == 3_000 and got[2].n_entropy > 2_000
+
+
 def test_query_digest_empty_table_and_null_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "token: abcdefgh9"), (4, None), (4, None)], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
