@@ -41,32 +41,49 @@ def normal_form(text: str) -> bytes:
 
 
 def fit_language_model(
-    train: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 1 << 16, sample_rows: int = 400, longest_chars: int = 16_000, max_languages: int = 1000
+    train: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 1 << 16, sample_rows: int = 400, slice_chars: int = 16_000, max_languages: int = 1000
 ) -> LanguageModel:
     """Fills one dictionary per language from a bounded sample of the labelled rows.
 
-    For each non-null language at most ``sample_rows`` texts of at most ``longest_chars``
-    characters are drawn by hash and brought to the driver; repeats are used once. Rows
-    without a letter are left out. Raises if there are more than ``max_languages``.
+    For each non-null language at most ``sample_rows`` distinct texts with a letter are drawn by
+    hash, whatever their lengths and however often they repeat. Of each drawn text one slice of
+    at most ``slice_chars`` characters, at a place told by its hash, comes to the driver, once
+    marks other than letters are taken out and long blanks shortened. The texts share
+    ``dictionary_bytes`` evenly; what short ones leave goes to longer ones. A language with any
+    labelled letter has a dictionary. Raises if there are more than ``max_languages``.
     """
     rows = train.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.char_length("text") <= longest_chars)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return LanguageModel({})
     spread = 1 << 30
-    cuts = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(spread, 3 * sample_rows * spread // n))])
-    draw = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(spread))).filter(F.col("h") < F.element_at(cuts, F.col("lang")))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    drawn = draw.dropDuplicates(["lang", "text"]).withColumn("n", order).filter(F.col("n") <= sample_rows)
+    cuts = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(spread, 3 * sample_rows * spread // max(1, n)))])
+    draw = rows.filter(F.pmod("h", F.lit(spread)) < F.element_at(cuts, F.col("lang")))
+    plain = F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\s]+", ""), r"\s{9,}", " ")
+    size = F.char_length("plain")
+    place = F.pmod(F.xxhash64("h"), F.greatest(size - slice_chars, F.lit(0)) + 1).cast("int")
+    sliced = draw.select("lang", "h", plain.alias("plain")).select("lang", "h", F.substring("plain", place + 1, F.lit(slice_chars)).alias("part"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(spread)), "h"))
+    drawn = sliced.groupBy("lang", "h").agg(F.min("part").alias("part")).withColumn("n", order).filter(F.col("n") <= sample_rows)
     parts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in drawn.select("lang", "text", "n").collect():
-        if has_letter(r.text):
-            parts.setdefault(r.lang, []).append((r.n, normal_form(r.text)))
-    dictionaries = {lang: b"\n".join(t for _, t in sorted(found))[:dictionary_bytes] for lang, found in sorted(parts.items(), key=lambda kv: (-counts[kv[0]], kv[0]))}
-    return LanguageModel({lang: d for lang, d in dictionaries.items() if d.strip()})
+    for r in drawn.select("lang", "part", "n").collect():  # at most sample_rows slices a language
+        parts.setdefault(r.lang, []).append((r.n, normal_form(r.part)))
+    return LanguageModel({lang: share_out([t for _, t in sorted(found)], dictionary_bytes) for lang, found in sorted(parts.items(), key=lambda kv: (-counts[kv[0]], kv[0]))})
+
+
+def share_out(texts: list[bytes], size: int) -> bytes:
+    """The texts on lines of their own, in at most ``size`` bytes: each is cut to the largest length at which all fit."""
+    low, high = 0, size
+    while low < high:
+        mid = (low + high + 1) // 2
+        if sum(min(len(t), mid) + 1 for t in texts) <= size + 1:
+            low = mid
+        else:
+            high = mid - 1
+    return b"\n".join(t[: max(1, low)] for t in texts)[:size]
 
 
 def has_letter(text: str) -> bool:
@@ -91,28 +108,31 @@ def code_lengths(text: bytes, compressors: list) -> np.ndarray:
     return np.array([sum(len(c.compress(b)) for b in blocks) - len(blocks) * len(c.compress(PAD)) for c in compressors], dtype=float)
 
 
-def _identify(dictionaries: dict[str, bytes], min_margin: float):
-    languages = list(dictionaries)
+class Judge:
+    """Tells the languages of texts; its compressors are made once."""
+
+    def __init__(self, dictionaries: dict[str, bytes], min_margin: float) -> None:
+        self.languages, self.min_margin = list(dictionaries), min_margin
+        self.compressors = _compressors(dictionaries)
+
+    def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
+        """(language, score, margin, rejected) of a whole text."""
+        if text is None or not self.languages or not has_letter(text):
+            return UNDETERMINED, 0.0, 0.0, True
+        sizes = code_lengths(normal_form(text), self.compressors)
+        order = np.argsort(sizes, kind="stable")
+        best = sizes[order[0]]
+        margin = float((sizes[order[1]] - best) / max(1.0, sizes[order[1]])) if len(order) > 1 else 1.0
+        weights = np.exp(-np.minimum(50.0, 8 * (sizes - best) / (8 + 0.05 * best)))
+        return self.languages[order[0]], float(1 / weights.sum()), margin, margin < self.min_margin
 
+
+def _identify(dictionaries: dict[str, bytes], min_margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = _compressors(dictionaries)
+        judge = Judge(dictionaries, min_margin)
         for batch in small_slices(batches, "text"):
-            out: list[tuple] = []
-            for value in batch.column("text"):
-                text = value.as_py()
-                if text is None or not languages or not has_letter(text):
-                    out.append((UNDETERMINED, 0.0, 0.0, True))
-                    continue
-                sizes = code_lengths(normal_form(text), compressors)
-                order = np.argsort(sizes, kind="stable")
-                best = sizes[order[0]]
-                margin = float((sizes[order[1]] - best) / max(1.0, sizes[order[1]])) if len(order) > 1 else 1.0
-                weights = np.exp(-np.minimum(50.0, 8 * (sizes - best) / (8 + 0.05 * best)))
-                out.append((languages[order[0]], float(1 / weights.sum()), margin, margin < min_margin))
-            columns = list(zip(*out, strict=True))
-            kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3])], names=[*names, "lang_pred", "score", "margin", "rejected"])
+            columns = list(zip(*(judge(t.as_py()) for t in batch.column("text")), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, columns)], names=["id", "lang_pred", "score", "margin", "rejected"])
 
     return run
 
@@ -123,8 +143,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     Returns one row per input row: ``id_col``, lang_pred, score (0 to 1, the winner's share of
     softened code lengths), margin (saving over the runner-up) and rejected (margin under
     ``min_margin``, or no prediction). NULL texts, texts without a letter and models without
-    a language give ``und``, score 0, rejected. NULL and repeated ids come back as they are;
-    an empty table gives no rows; other columns are ignored, whatever their names.
+    a language give ``und``, score 0, rejected. Where two languages take as many bytes, the one
+    with more labelled texts wins and the margin is zero. Texts of any length are encoded whole,
+    block by block. NULL and repeated ids come back as they are; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -133,13 +155,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_margin: float = 0.01) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is not rejected."""
-    judge, at = _identify(model.dictionaries, min_margin), docs.columns.index(text_col)
+    """The rows of ``docs``, with all their columns, whose language is not rejected.
+
+    NULL texts and texts without a letter go; repeated rows stay or go together, an empty table
+    gives no rows, and columns may have any names.
+    """
+    dictionaries, at = model.dictionaries, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(dictionaries, min_margin)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
-            rejected = [x for part in judge(iter([texts])) for x in part.column("rejected").to_pylist()]
-            yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
+            yield batch.filter(pa.array([not judge(t.as_py())[-1] for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
