@@ -1,14 +1,15 @@
-"""Exact cosine search in blocks.
+"""Exact search by inner products in blocks.
 
-Queries go out in blocks of a fixed number of rows; the gallery is never broadcast,
-collected or shuffled. A task multiplies each Arrow batch of its gallery rows with the block
-and keeps its best k per query, so k rows per task and query reach the final ranking.
+A query set of one block, counted first, goes out with the tasks: the gallery is neither
+broadcast, collected nor shuffled, and a task multiplies each Arrow batch of its gallery rows
+with the block and keeps its best k per query. Larger query sets never meet the driver: both
+sides are cut into blocks of bounded size, each pair of blocks is one group of a shuffle, and
+gives its best k per query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,50 +26,97 @@ def normalized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), l2_normalize(as_double(F.col(vec_col))).alias("v")).filter("v IS NOT NULL")
 
 
+def raw_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v): vectors as they are, in DOUBLE; NULL vectors are dropped."""
+    return vectors.select(F.col(id_col).alias("id"), as_double(F.col(vec_col)).alias("v")).filter("v IS NOT NULL")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+class Best:
+    """The k best gallery rows so far for each query of a block."""
+
+    def __init__(self, ids: np.ndarray, block: np.ndarray, k: int, keep_self: bool) -> None:
+        self.ids, self.block, self.k, self.keep_self = ids, block, k, keep_self
+        self.score = np.full((len(ids), 0), -np.inf)
+        self.other = np.zeros((len(ids), 0), dtype=np.int64)
+
+    def see(self, gid: np.ndarray, vectors: np.ndarray) -> None:
+        s = self.block @ vectors.T
+        if not self.keep_self:
+            s[self.ids[:, None] == gid[None, :]] = -np.inf
+        score, other = np.concatenate([self.score, s], axis=1), np.concatenate([self.other, np.broadcast_to(gid, s.shape)], axis=1)
+        # rounding first, so that ties fall to the smaller id as in the final ranking
+        order = np.lexsort((other, -np.round(score, 9)), axis=1)[:, : self.k]
+        self.score, self.other = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
+
+    def columns(self) -> list[pa.Array]:
+        found = np.isfinite(self.score)
+        qid = np.broadcast_to(self.ids[:, None], self.score.shape)
+        return [pa.array(qid[found]), pa.array(self.other[found]), pa.array(self.score[found])]
+
+
+_FOUND = "qid long, gid long, score double"
+_NAMES = ["qid", "gid", "score"]
+
+
 def _best_of_task(ids: np.ndarray, block: np.ndarray, k: int, keep_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = np.full((len(ids), 0), -np.inf)
-        other = np.zeros((len(ids), 0), dtype=np.int64)
+        best = Best(ids, block, k, keep_self)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gid = batch.column("id").to_numpy(zero_copy_only=False)
-            s = block @ _matrix(batch.column("v")).T
-            if not keep_self:
-                s[ids[:, None] == gid[None, :]] = -np.inf
-            score, other = np.concatenate([score, s], axis=1), np.concatenate([other, np.broadcast_to(gid, s.shape)], axis=1)
-            # rounding first, so that ties fall to the smaller id as in the final ranking
-            order = np.lexsort((other, -np.round(score, 9)), axis=1)[:, :k]
-            score, other = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
-        found = np.isfinite(score)
-        qid = np.broadcast_to(ids[:, None], score.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(qid[found]), pa.array(other[found]), pa.array(score[found])], names=["qid", "gid", "score"])
+            if batch.num_rows:
+                best.see(batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("v")))
+        yield pa.RecordBatch.from_arrays(best.columns(), names=_NAMES)
 
     return run
 
 
+def _best_of_blocks(k: int, keep_self: bool, rows: int = 4096):
+    def run(gallery: pa.Table, queries: pa.Table) -> pa.Table:
+        if not gallery.num_rows or not queries.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=_NAMES)
+        parts = []
+        gid, vectors = gallery.column("id").to_numpy(), _matrix(gallery.column("v").combine_chunks())
+        qid, asked = queries.column("qid").to_numpy(), _matrix(queries.column("qv").combine_chunks())
+        for q in range(0, len(qid), 1024):
+            best = Best(qid[q : q + 1024], asked[q : q + 1024], k, keep_self)
+            for g in range(0, len(gid), rows):
+                best.see(gid[g : g + rows], vectors[g : g + rows])
+            parts.append(pa.table(best.columns(), names=_NAMES))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _by_blocks(gallery: DataFrame, queries: DataFrame, n_queries: int, k: int, keep_self: bool, block_rows: int) -> DataFrame:
+    """Candidates from all pairs of blocks; each side goes once to every block of the other."""
+    n_gallery = gallery.count()
+    across, down = max(1, -(-n_gallery // (4 * block_rows))), max(1, -(-n_queries // (4 * block_rows)))
+    cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = across * down
+    left = gallery.select("id", "v", cell(across).alias("_g"), every(down).alias("_q")).repartition(parts, "_g", "_q").groupBy("_g", "_q")
+    # names of its own, as both sides may be one table
+    right = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), cell(down).alias("_q"), every(across).alias("_g")).repartition(parts, "_g", "_q").groupBy("_g", "_q")
+    return left.cogroup(right).applyInArrow(_best_of_blocks(k, keep_self), _FOUND)
+
+
 def cosine_topk(gallery: DataFrame, queries: DataFrame, k: int, keep_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(qid, gid, rank, score): the k gallery rows nearest to each query by cosine, ties by the smaller id.
+    """(qid, gid, rank, score): the k gallery rows of largest inner product with each query, ties by the smaller id.
 
-    Both sides are (id long, v array<double>) with unit vectors of one length. A query never
-    finds its own id unless ``keep_self``. Fewer than k rows come back from a smaller gallery.
+    Both sides are (id long, v array<double>) with vectors of one length; unit vectors give
+    the cosine. A query never finds its own id unless ``keep_self``. Fewer than k rows come
+    back from a smaller gallery.
     """
-    spark = gallery.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block_rows))
-    parts = []
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = mine.select("id", "v").collect()  # at most about block_rows rows
-        if rows:
-            ids, block = np.array([r.id for r in rows], dtype=np.int64), np.array([r.v for r in rows])
-            parts.append(gallery.select("id", "v").mapInArrow(_best_of_task(ids, block, k, keep_self), "qid long, gid long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "qid long, gid long, rank int, score double")
-    found = reduce(DataFrame.union, parts)
+    asked = queries.select("id", "v").limit(block_rows + 1).collect()  # one block and one row at most
+    if len(asked) <= block_rows:
+        ids, block = np.array([r.id for r in asked], dtype=np.int64), np.array([r.v for r in asked])
+        if not len(ids):
+            return gallery.sparkSession.createDataFrame([], "qid long, gid long, rank int, score double")
+        found = gallery.select("id", "v").mapInArrow(_best_of_task(ids, block, k, keep_self), _FOUND)
+    else:
+        found = _by_blocks(gallery, queries, queries.count(), k, keep_self, block_rows)
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "gid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "gid", "rank", "score")

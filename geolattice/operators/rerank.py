@@ -50,11 +50,28 @@ def graph_rerank(nodes: DataFrame, query_id: int, k: int) -> DataFrame:
     return graph_rerank_all(nodes, nodes.filter(F.col("id") == query_id), k).select("gid", "rank", "score")
 
 
-def graph_rerank_all(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, gid, rank, score): for each id of ``queries`` the k other nodes that agree best with it, from one propagated table."""
+def graph_rerank_all(nodes: DataFrame, queries: DataFrame, k: int, gallery: DataFrame | None = None) -> DataFrame:
+    """(qid, gid, rank, score): for each id of ``queries`` the k other nodes that agree best with it, from one propagated table.
+
+    With ``gallery`` only its ids are found.
+    """
     rows = _propagated(nodes, k)
     mine = rows.join(queries.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("i").alias("qid"), "f", F.col("v").alias("q"))
-    scores = rows.join(mine, "f").filter("i <> qid").groupBy("qid", "i").agg(F.sum(F.col("q") * F.col("v")).alias("score"))
+    others = rows if gallery is None else rows.join(gallery.select(F.col("id").alias("i")), "i", "left_semi")
+    scores = others.join(mine, "f").filter("i <> qid").groupBy("qid", "i").agg(F.sum(F.col("q") * F.col("v")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "i")
     ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("qid", F.col("i").alias("gid"), "rank", "score")
+
+
+def retrieve(gallery: DataFrame, queries: DataFrame, k: int, rerank: bool = False) -> DataFrame:
+    """(query_id, ref_rank, ref_id): the references of each query from rank 0, by inner product or re-ranked over the graph of both sides.
+
+    Both sides are (id, v); a query's own id is never found. With ``rerank`` the graph holds
+    the queries and the gallery, an id on both sides once.
+    """
+    if rerank:
+        found = graph_rerank_all(gallery.union(queries.join(gallery, "id", "left_anti").select("id", "v")), queries, k, gallery)
+    else:
+        found = cosine_topk(gallery, queries, k)
+    return found.select(F.col("qid").alias("query_id"), (F.col("rank") - 1).alias("ref_rank"), F.col("gid").alias("ref_id"))

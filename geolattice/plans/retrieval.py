@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolattice.functions import camera
 from geolattice.functions.vectors import as_double, l2_normalize
-from geolattice.operators import knn, metrics, rerank
+from geolattice.operators import distances, knn, metrics, rerank
 from geolattice.scratch import staged
 
 #: Searches take as queries every vector whose id is divisible by this.
@@ -116,6 +117,63 @@ def pairwise_squared_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, K).select("qid", "gid", F.round(2 - 2 * F.col("score"), 6).alias("d2"))
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v): vectors of three different lengths."""
+    scaled = F.transform("v", lambda x: x * (1 + F.col("id") % 3))
+    return knn.raw_vectors(_vectors(spark, sf_dir), "vec_id", "embedding").select("id", scaled.alias("v"))
+
+
+def _measured(spark: SparkSession, sf_dir: str, measure) -> DataFrame:
+    raw = _raw(spark, sf_dir)
+    return distances.pairwise(raw.filter(F.col("id") % EVERY == 0), raw, measure).select("qid", "gid", (F.round("d", 6) + 0.0).alias("d"))
+
+
+def squared_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared distances of every fiftieth raw vector to all, itself included."""
+    return _measured(spark, sf_dir, distances.squared)
+
+
+def raw_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, distances.dot)
+
+
+def graph_rerank_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-ranking over the graph of inner products of raw vectors."""
+    raw = _raw(spark, sf_dir)
+    return rerank.graph_rerank_all(raw, raw.filter(F.col("id") % EVERY == 0), 5).select("qid", "gid", "rank", F.round("score", 6).alias("score"))
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, r, c): cameras on a grid, turned by multiples of 40 degrees."""
+    v = F.col("vec_id")
+    return _vectors(spark, sf_dir).select(v.alias("id"), camera.rotation_y((v % 9 * 40).cast("double")).alias("r"), F.array(*[x.cast("double") for x in (v * 7 % 101, v % 7, v * 13 % 89)]).alias("c"))
+
+
+def camera_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = _views(spark, sf_dir).withColumnRenamed("r", "v")
+    return distances.pairwise(views.filter(F.col("id") % EVERY == 0), views, distances.angle).select("qid", "gid", F.round("d", 4).alias("deg"))
+
+
+def _camera_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = _views(spark, sf_dir)
+    return distances.camera_distances(views.filter(F.col("id") % EVERY == 0), views).filter("qid <> gid")
+
+
+def camera_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of camera positions; those of views over 90 degrees apart are infinite, shown as -1."""
+    return _camera_distances(spark, sf_dir).select("qid", "gid", F.when(F.col("d") == float("inf"), -1.0).otherwise(F.round("d", 6)).alias("d"))
+
+
+def order_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances.order_k(_camera_distances(spark, sf_dir), 23).select("qid", "gid", "rank")
+
+
+def descriptor_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision at 3 of the most similar rows, the 23 nearest cameras being relevant."""
+    nearest = staged(distances.order_k(_camera_distances(spark, sf_dir), 23), "nearest-cameras")
+    return metrics.map_at_k(distances.agreement(_search(spark, sf_dir, 3), nearest), 3).select("qid", F.round("ap", 6).alias("ap"))
+
+
 QUERIES = {
     "l2_normalize": l2_normalize_all,
     "cosine_topk": cosine_topk,
@@ -132,6 +190,13 @@ QUERIES = {
     "score_histogram": score_histogram,
     "descriptor_mean": descriptor_mean,
     "pairwise_squared_distance": pairwise_squared_distance,
+    "squared_distances": squared_distances,
+    "raw_dot": raw_dot,
+    "graph_rerank_raw": graph_rerank_raw,
+    "camera_angles": camera_angles,
+    "camera_distances": camera_distances,
+    "order_k": order_k,
+    "descriptor_agreement": descriptor_agreement,
 }
 
 _UNIT = """
@@ -160,7 +225,24 @@ p{n} AS (SELECT nb.i, s.f, sum(nb.w * s.v) AS v FROM nb JOIN s{n} s ON s.i = nb.
 a{m} AS (SELECT i, f, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS v FROM p{n})
 """
 
+_RAW = "u AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 3)) AS v FROM embeddings)"
+_VIEWS = f"""
+c AS (SELECT vec_id AS id, vec_id % 9 * 40 AS turn, vec_id * 7 % 101 AS x, vec_id % 7 AS y, vec_id * 13 % 89 AS z FROM embeddings),
+p AS (SELECT q.id AS qid, g.id AS gid, least(abs(q.turn - g.turn), 360 - abs(q.turn - g.turn)) AS deg, sqrt((pow(q.x - g.x, 2) + pow(q.y - g.y, 2) + pow(q.z - g.z, 2))::DOUBLE) AS far FROM c q, c g WHERE q.id % {EVERY} = 0),
+d AS (SELECT qid, gid, CASE WHEN deg > 90 THEN 'inf'::DOUBLE ELSE far END AS d FROM p WHERE qid <> gid),
+o AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, gid) AS INTEGER) AS rank FROM d) WHERE rank <= 23)"""
+
 ORACLES = {
+    "squared_distances": f"WITH {_RAW} SELECT q.id AS qid, g.id AS gid, round(list_sum(list_transform(list_zip(q.v, g.v), lambda x: pow(x[1] - x[2], 2))), 6) + 0e0 AS d FROM u q, u g WHERE q.id % {EVERY} = 0",
+    "raw_dot": f"WITH {_RAW} SELECT q.id AS qid, g.id AS gid, round(list_inner_product(q.v, g.v), 6) + 0e0 AS d FROM u q, u g WHERE q.id % {EVERY} = 0",
+    "graph_rerank_raw": f"""WITH {_RAW}, {_NEAR.format(k1=15)}, a0 AS (SELECT i, j AS f, 1e0 AS v FROM nb), {_SPREAD.format(n=0, m=1, k2=5)}, {_SPREAD.format(n=1, m=2, k2=5)},
+sc AS (SELECT q.i AS qid, g.i AS gid, sum(q.v * g.v) AS score FROM a2 q JOIN a2 g ON q.f = g.f WHERE q.i % {EVERY} = 0 AND g.i <> q.i GROUP BY q.i, g.i)
+SELECT qid, gid, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, gid) AS r FROM sc) WHERE r <= 5""",
+    "camera_angles": f"WITH {_VIEWS} SELECT qid, gid, deg::DOUBLE AS deg FROM p",
+    "camera_distances": f"WITH {_VIEWS} SELECT qid, gid, CASE WHEN isinf(d) THEN -1e0 ELSE round(d, 6) END AS d FROM d",
+    "order_k": f"WITH {_VIEWS} SELECT qid, gid, rank FROM o",
+    "descriptor_agreement": f"""WITH {_VIEWS}, {_TOPK}, rel AS (SELECT t.qid, t.rank, CAST(o.gid IS NOT NULL AS INTEGER) AS rel FROM top t LEFT JOIN o ON o.qid = t.qid AND o.gid = t.gid WHERE t.rank <= 3),
+h AS (SELECT qid, rank, rel, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS h FROM rel) SELECT qid, round(sum(rel * h / rank::DOUBLE) / 3, 6) AS ap FROM h GROUP BY qid""",
     "l2_normalize": f"WITH {_UNIT} SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i], 6) AS x FROM u, range(1, 65) t(i) WHERE i <= len(v)",
     "cosine_topk": f"WITH {_TOPK} SELECT qid, gid, rank, round(score, 6) AS score FROM top",
     "knn_graph": f"WITH {_UNIT}, {_NEAR.format(k1=K)} SELECT i, j, round(w, 6) AS w, r FROM nb",
