@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolattice.functions import camera
@@ -16,6 +16,7 @@ from geolattice.scratch import staged
 class Policy(Enum):
     DISPLACEMENT = "displacement"
     EXPANSION = "expansion"
+    EXPANSION2 = "expansion2"
 
 
 @dataclass(frozen=True)
@@ -26,23 +27,29 @@ class Config:
     cameras_distance_thr: float = 30.0
     rerank: bool = False
     policy: Policy = Policy.DISPLACEMENT
+    verbose: bool = False
 
     @classmethod
     def of(cls, **values) -> Config:
-        """From plain values, as in a configuration file; an unknown policy raises KeyError."""
+        """From plain values, as in a configuration file; an unknown policy raises KeyError, an unknown name TypeError."""
         if isinstance(values.get("policy"), str):
             values["policy"] = Policy[values["policy"].upper()]
-        return cls(**{k: v for k, v in values.items() if k in cls.__dataclass_fields__})
+        return cls(**values)
+
+
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    """A column, or NULL where a table lacks it."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def validated(retrieved: DataFrame, cameras: DataFrame, distance: float) -> DataFrame:
-    """(query_id, rank, ref_id, K, R, T, c): retrieved cameras of each query's largest cluster, ranked anew from 0."""
-    placed = retrieved.join(cameras, "ref_id").withColumn("c", camera.column(camera.camera_center(F.col("R"), F.col("T"))))
+    """(query_id, rank, ref_id, K, R, T, dist, c): retrieved cameras of each query's largest cluster, ranked anew from 0."""
+    placed = retrieved.join(cameras.withColumn("dist", _optional(cameras, "dist", "array<double>")), "ref_id").withColumn("c", camera.column(camera.camera_center(F.col("R"), F.col("T"))))
     placed = staged(placed, "retrieved-cameras")
     points = placed.select("query_id", F.col("ref_rank").alias("i"), *[F.get("c", n).alias(a) for n, a in enumerate("xyz")])
     kept = spatial.largest_cluster(points, "query_id", distance).withColumnRenamed("i", "ref_rank")
     order = Window.partitionBy("query_id").orderBy("ref_rank")
-    return placed.join(kept, ["query_id", "ref_rank"]).withColumn("rank", F.row_number().over(order) - 1).select("query_id", "rank", "ref_id", "K", "R", "T", "c")
+    return placed.join(kept, ["query_id", "ref_rank"]).withColumn("rank", F.row_number().over(order) - 1).select("query_id", "rank", "ref_id", "K", "R", "T", "dist", "c")
 
 
 def point_cloud(refs: DataFrame, matches: DataFrame, config: Config) -> DataFrame:
@@ -52,7 +59,9 @@ def point_cloud(refs: DataFrame, matches: DataFrame, config: Config) -> DataFram
     are dropped before anything is triangulated.
     """
     view = camera.column(camera.projection_matrix(F.col("K"), F.col("R"), F.col("T")))
-    seen = staged(refs.join(matches, ["query_id", "ref_id"]).select("query_id", "rank", "kp_idx", "confidence", view.alias("p"), "c", F.array("x", "y").alias("x")), "observations")
+    free = solve.straight_pixels(F.col("x"), F.col("y"), F.col("K"), F.col("dist"))
+    seen = refs.join(matches, ["query_id", "ref_id"]).withColumn("free", free)
+    seen = staged(seen.select("query_id", "rank", "kp_idx", "confidence", view.alias("p"), "c", F.array("free.x", "free.y").alias("x")), "observations")
     side = lambda s: seen.select("query_id", "kp_idx", *[F.col(c).alias(c + s) for c in ("rank", "confidence", "p", "c", "x")])
     pairs = side("1").join(side("2"), ["query_id", "kp_idx"]).filter("rank1 < rank2")
     conf = F.col("confidence1") * F.col("confidence2")
@@ -68,17 +77,47 @@ def point_cloud(refs: DataFrame, matches: DataFrame, config: Config) -> DataFram
     return marked.join(taken, ["query_id", "kp_idx", "i", "j"])
 
 
+def two_view_points(refs: DataFrame, matches: DataFrame, pixels: DataFrame, config: Config) -> DataFrame:
+    """(query_id, kp_idx, x, y, z): points of a query and each of its references alone.
+
+    A match counts if its confidence exceeds the root of the threshold that products must pass.
+    """
+    sure = matches.filter((F.col("confidence") > config.confidence_thr**0.5) & ~F.isnan("confidence"))
+    free = solve.straight_pixels(F.col("x"), F.col("y"), F.col("K"), F.col("dist"))
+    asked = pixels.select("query_id", "kp_idx", "px", "py", F.col("k").alias("qk"))
+    seen = refs.join(sure, ["query_id", "ref_id"]).withColumn("free", free).join(asked, ["query_id", "kp_idx"])
+    n = lambda value, m, axis: (value - F.get(m, 3 * axis + 2)) / F.get(m, 4 * axis)
+    rows = seen.select(
+        "query_id",
+        F.col("rank").cast("long").alias("ref_rank"),
+        F.col("kp_idx").cast("long").alias("kp_idx"),
+        n(F.col("px"), F.col("qk"), 0).alias("ax"),
+        n(F.col("py"), F.col("qk"), 1).alias("ay"),
+        n(F.col("free.x"), F.col("K"), 0).alias("bx"),
+        n(F.col("free.y"), F.col("K"), 1).alias("by"),
+        F.col("R").alias("r"),
+        F.col("T").alias("t"),
+    )
+    return solve.query_point_clouds(rows, config.points_distance_thr).select("query_id", "kp_idx", "x", "y", "z")
+
+
 def localize(queries: DataFrame, retrieved: DataFrame, cameras: DataFrame, matches: DataFrame, config: Config) -> DataFrame:
     """(query_id, status, r, t, n_cameras, n_points, n_inliers) for every query.
 
     Queries are (query_id, K, keypoints array<struct<kp_idx, px, py>>), retrieved (query_id,
     ref_rank, ref_id), cameras (ref_id, K, R, T), matches (query_id, ref_id, kp_idx,
-    confidence, x, y) with pixels of the reference. status is "ok", "too few cameras", "too
-    few points" or "no model"; a query that is not localised has a NULL pose.
+    confidence, x, y) with pixels of the reference. Queries and cameras may have dist, five
+    distortion coefficients or NULL: pixels are straightened first, and reprojection errors are
+    those of straight pixels. status is "ok", "too few cameras", "too few points" or "no model";
+    a query that is not localised has a NULL pose.
     """
     refs = staged(validated(retrieved, cameras, config.cameras_distance_thr), "validated")
-    points = point_cloud(refs, matches, config)
-    pixels = queries.select("query_id", "K", F.explode("keypoints").alias("p")).select("query_id", F.col("K").alias("k"), "p.kp_idx", "p.px", "p.py")
+    exploded = queries.select("query_id", F.col("K").alias("k"), _optional(queries, "dist", "array<double>").alias("dist_"), F.explode("keypoints").alias("p"))
+    free = solve.straight_pixels(F.col("p.px"), F.col("p.py"), F.col("k"), F.col("dist_"))
+    pixels = exploded.withColumn("f", free).select("query_id", "k", "p.kp_idx", F.col("f.x").alias("px"), F.col("f.y").alias("py"))
+    points = point_cloud(refs, matches, config).select("query_id", "kp_idx", "x", "y", "z")
+    if config.policy is Policy.EXPANSION2:
+        points = points.unionByName(two_view_points(refs, matches, pixels, config))
     fits = solve.solve_poses(points.join(pixels, ["query_id", "kp_idx"]))
     counts = refs.groupBy("query_id").agg(F.count("*").cast("int").alias("n_cameras"))
     every = queries.select("query_id").join(counts, "query_id", "left").join(fits, "query_id", "left")

@@ -49,27 +49,59 @@ def triangulate(pairs: DataFrame, keys: list[str]) -> DataFrame:
 # --- perspective n points -------------------------------------------------------------------
 
 
-def pose_from_points(world: np.ndarray, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(R, T) from at least six world points and their normalised image points, by the direct linear method, or None."""
-    n = len(world)
-    center, scale = world.mean(axis=0), max(world.std(), 1e-9)
-    h = np.concatenate([(world - center) / scale, np.ones((n, 1))], axis=1)
-    a = np.zeros((2 * n, 12))
-    a[0::2, 0:4], a[0::2, 8:12] = h, -rays[:, :1] * h
-    a[1::2, 4:8], a[1::2, 8:12] = h, -rays[:, 1:] * h
-    _, s, v = np.linalg.svd(a)
-    if s[10] < 1e-9 * s[0]:
-        return None
-    m = v[-1].reshape(3, 4)
-    u, d, w = np.linalg.svd(m[:, :3])
-    if d[2] < 1e-9 * d[0]:
-        return None
-    sign = np.sign(np.linalg.det(u @ w))
-    r = sign * (u @ w)
-    t = sign * m[:, 3] / d.mean() * scale - r @ center
-    if np.median((world @ r.T + t)[:, 2]) < 0:
-        return None
-    return r, t
+def three_point_poses(world: np.ndarray, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(R, T) stacks of all poses that put three world points (m, 3, 3) on three normalised image points (m, 3, 2).
+
+    Grunert's method: with the distances of the points known, the distances from the camera are
+    roots of a polynomial of degree four; each root gives the points in the camera's frame, and
+    a rotation aligns the two triangles.
+    """
+    f = np.concatenate([rays, np.ones((*rays.shape[:2], 1))], axis=2)
+    f /= np.linalg.norm(f, axis=2, keepdims=True)
+    side = lambda i, j: ((world[:, i] - world[:, j]) ** 2).sum(axis=1)
+    cosine = lambda i, j: (f[:, i] * f[:, j]).sum(axis=1)
+    a2, b2, c2 = side(1, 2), side(0, 2), side(0, 1)
+    ca, cb, cg = cosine(1, 2), cosine(0, 2), cosine(0, 1)
+    with np.errstate(all="ignore"):
+        p, q, c = (a2 - c2) / b2, (a2 + c2) / b2, c2 / b2
+        a = a2 / b2
+        quartic = np.stack(
+            [
+                (p - 1) ** 2 - 4 * c * ca**2,
+                4 * (p * (1 - p) * cb - (1 - q) * ca * cg + 2 * c * ca**2 * cb),
+                2 * (p**2 - 1 + 2 * p**2 * cb**2 + 2 * (1 - c) * ca**2 - 4 * q * ca * cb * cg + 2 * (1 - a) * cg**2),
+                4 * (-p * (1 + p) * cb + 2 * a * cg**2 * cb - (1 - q) * ca * cg),
+                (1 + p) ** 2 - 4 * a * cg**2,
+            ],
+            axis=1,
+        )
+        usable = np.isfinite(quartic).all(axis=1) & (np.abs(quartic[:, 0]) > 1e-12) & (b2 > 1e-18)
+        quartic, p, ca, cb, cg, b2, f, world = quartic[usable], p[usable], ca[usable], cb[usable], cg[usable], b2[usable], f[usable], world[usable]
+        companion = np.zeros((len(quartic), 4, 4))
+        companion[:, 0] = -quartic[:, 1:] / quartic[:, :1]
+        companion[:, 1, 0] = companion[:, 2, 1] = companion[:, 3, 2] = 1.0
+        roots = np.linalg.eigvals(companion) if len(companion) else np.zeros((0, 4), complex)
+        v = roots.real
+        for _ in range(2):  # polished, as eigenvalues of near double roots are rough
+            value = np.zeros_like(v)
+            slope = np.zeros_like(v)
+            for i in range(5):
+                slope, value = slope * v + value, value * v + quartic[:, i : i + 1]
+            v = np.where(np.abs(slope) > 1e-12, v - value / slope, v)
+        p, ca, cb, cg, b2 = (x[:, None] for x in (p, ca, cb, cg, b2))
+        u = ((p - 1) * v**2 - 2 * p * cb * v + 1 + p) / (2 * (cg - v * ca))
+        s1 = np.sqrt(b2 / (1 + v**2 - 2 * v * cb))
+        good = (np.abs(roots.imag) < 1e-4 * (1 + np.abs(roots.real))) & (v > 0) & (u > 0) & np.isfinite(s1) & np.isfinite(u)
+        which, _ = np.nonzero(good)
+        depth = np.stack([s1, u * s1, v * s1], axis=2)[good]
+    seen, real = depth[:, :, None] * f[which], world[which]
+    mid_seen, mid_real = seen.mean(axis=1), real.mean(axis=1)
+    h = np.einsum("mni,mnj->mij", seen - mid_seen[:, None], real - mid_real[:, None])
+    left, _, right = np.linalg.svd(h)
+    flip = np.ones((len(h), 3))
+    flip[:, 2] = np.sign(np.linalg.det(left) * np.linalg.det(right))
+    r = np.einsum("mij,mj,mjk->mik", left, flip, right)
+    return r, mid_seen - np.einsum("mij,mj->mi", r, mid_real)
 
 
 def _rotation(w: np.ndarray) -> np.ndarray:
@@ -110,45 +142,44 @@ def refine_pose(r: np.ndarray, t: np.ndarray, world: np.ndarray, rays: np.ndarra
     return r, t
 
 
-def robust_pose(world: np.ndarray, pixels: np.ndarray, k: np.ndarray, seed: int, threshold: float = 1.0, confidence: float = 0.999999, most: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(R, T, inliers) by RANSAC over six-point samples, refined on the inliers, or None."""
+def robust_pose(world: np.ndarray, pixels: np.ndarray, k: np.ndarray, seed: int, threshold: float = 1.0, confidence: float = 0.999999, most: int = 10_000, batch: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(R, T, inliers) from four points or more by RANSAC over three-point samples, a batch at a time, refined on the inliers, or None."""
     n = len(world)
-    if n < 6 or not np.isfinite(world).all():
+    if n < 4 or not np.isfinite(world).all():
         return None
-    inverse = np.linalg.inv(k)
-    rays = (np.concatenate([pixels, np.ones((n, 1))], axis=1) @ inverse.T)[:, :2]
+    rays = (np.concatenate([pixels, np.ones((n, 1))], axis=1) @ np.linalg.inv(k).T)[:, :2]
     rng = np.random.default_rng(seed)
 
     def inliers(r: np.ndarray, t: np.ndarray) -> np.ndarray:
-        c = world @ r.T + t
+        c = np.einsum("mij,nj->mni", r, world) + t[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = (c / c[:, 2:]) @ k.T
-        return (c[:, 2] > 0) & (np.hypot(p[:, 0] - pixels[:, 0], p[:, 1] - pixels[:, 1]) <= threshold)
-
-    best, rounds, i = None, most, 0
-    while i < rounds:
-        i += 1
-        pick = rng.choice(n, 6, replace=False)
-        model = pose_from_points(world[pick], rays[pick])
-        if model is None:
+            p = np.einsum("ij,mnj->mni", k[:2], c / c[:, :, 2:])
+        return (c[:, :, 2] > 0) & (np.hypot(p[:, :, 0] - pixels[:, 0], p[:, :, 1] - pixels[:, 1]) <= threshold)
+
+    best, rounds, done = None, most, 0
+    while done < rounds:
+        pick = rng.random((batch, n)).argpartition(2, axis=1)[:, :3]
+        done += batch
+        r, t = three_point_poses(world[pick], rays[pick])
+        if not len(r):
             continue
-        good = inliers(*model)
-        if best is None or 2 * good.sum() > best[2].sum():  # only what may win is worth refining
-            model = refine_pose(*model, world[pick], rays[pick], 5)
-            good = inliers(*model)
-        if best is None or good.sum() > best[2].sum():
-            best = (*model, good)
-            share = good.mean()
-            if 0 < share < 1:
-                rounds = min(most, int(np.ceil(np.log(1 - confidence) / np.log(1 - share**6 + 1e-15))) + 1)
-            elif share == 1:
-                break
-    if best is None or best[2].sum() < 6:
+        good = inliers(r, t)
+        top = int(good.sum(axis=1).argmax())
+        if best is None or good[top].sum() > best[2].sum():
+            best = r[top], t[top], good[top]
+            if good[top].sum() >= 4:  # a better pose of the same support shortens the search
+                finer = refine_pose(r[top], t[top], world[good[top]], rays[good[top]], 5)
+                found = inliers(finer[0][None], finer[1][None])[0]
+                if found.sum() >= good[top].sum():
+                    best = (*finer, found)
+            share = best[2].mean()
+            rounds = min(most, int(np.ceil(np.log(1 - confidence) / np.log(1 - share**3 + 1e-15)))) if 0 < share < 1 else 0 if share == 1 else most
+    if best is None or best[2].sum() < 4:
         return None
     for _ in range(3):
         good = best[2]
         model = refine_pose(best[0], best[1], world[good], rays[good])
-        found = inliers(*model)
+        found = inliers(model[0][None], model[1][None])[0]
         if found.sum() < good.sum():
             break
         best = (*model, found)
@@ -162,8 +193,8 @@ def solve_poses(points: DataFrame, threshold: float = 1.0) -> DataFrame:
     """One row per query with its pose: (query_id, status, r, t, n_points, n_inliers).
 
     Points are (query_id, x, y, z, px, py, k array of 9). A query's points are bounded by its
-    keypoints and reference pairs. status is "ok", "too few points" or "no model"; r and t are
-    NULL unless ok.
+    keypoints and reference pairs. status is "ok", "too few points" (under four) or "no model";
+    r and t are NULL unless ok.
     """
 
     def fit(group: pa.Table) -> pa.Table:
@@ -174,7 +205,7 @@ def solve_poses(points: DataFrame, threshold: float = 1.0) -> DataFrame:
         keep = np.isfinite(world).all(axis=1) & np.isfinite(pixels).all(axis=1)
         world, pixels = world[keep], pixels[keep]
         status, found = "too few points", None
-        if len(world) >= 6:
+        if len(world) >= 4:
             found = robust_pose(world, pixels, np.array(group.column("k")[0].as_py()).reshape(3, 3), zlib.crc32(str(query).encode()), threshold)
             status = "ok" if found else "no model"
         r, t, n = (found[0].reshape(-1).tolist(), found[1].tolist(), int(found[2].sum())) if found else (None, None, 0)
@@ -273,6 +304,34 @@ def two_view_poses(pairs: DataFrame) -> DataFrame:
     return pairs.select("query_id", "ref_rank", "ax", "ay", "bx", "by").groupBy("query_id", "ref_rank").applyInArrow(fit, "query_id long, ref_rank long, status string, r array<double>, t array<double>, n_inliers int")
 
 
+def query_point_clouds(pairs: DataFrame, distance: float, threshold: float = 1e-3) -> DataFrame:
+    """(query_id, ref_rank, kp_idx, x, y, z): points seen by a query and one reference, by their relative pose.
+
+    Pairs are (query_id, ref_rank, kp_idx, ax, ay, bx, by, r array of 9, t array of 3) with
+    normalised points of the query (a) and the reference (b) and the reference's pose. The
+    relative translation has unit length, so the points are not to scale. Those farther than
+    ``distance`` from the reference, and references without a relative pose, give no row.
+    """
+    names = ["query_id", "ref_rank", "kp_idx"]
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by("kp_idx")
+        a, b = (np.stack([group.column(c).to_numpy() for c in side], axis=1) for side in (("ax", "ay"), ("bx", "by")))
+        q, ref = group.column("query_id")[0].as_py(), group.column("ref_rank")[0].as_py()
+        found = robust_relative_pose(a, b, zlib.crc32(f"{q}:{ref}".encode()), threshold)
+        if found is None:
+            return pa.table({**{n: pa.array([], pa.int64()) for n in names}, **{n: pa.array([], pa.float64()) for n in "xyz"}})
+        turn, shift, _ = found
+        r, t = np.array(group.column("r")[0].as_py()).reshape(3, 3), np.array(group.column("t")[0].as_py())
+        one, two = np.column_stack([turn.T @ r, turn.T @ (t - shift)]), np.column_stack([r, t])
+        points = triangulate_points(np.broadcast_to(one, (len(a), 3, 4)), np.broadcast_to(two, (len(a), 3, 4)), a, b)
+        near = np.linalg.norm(points + r.T @ t, axis=1) <= distance
+        return pa.table({**{n: group.column(n).filter(pa.array(near)).cast(pa.int64()) for n in names}, **{n: pa.array(points[near, i]) for i, n in enumerate("xyz")}})
+
+    schema = "query_id long, ref_rank long, kp_idx long, x double, y double, z double"
+    return pairs.select(*names, "ax", "ay", "bx", "by", "r", "t").groupBy("query_id", "ref_rank").applyInArrow(fit, schema)
+
+
 # --- lens distortion ------------------------------------------------------------------------
 
 
@@ -288,3 +347,10 @@ def undistort(x, y, dist, steps: int = 20):
         return F.struct(((x - dx) / radial).alias("x"), ((y - dy) / radial).alias("y"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("x"), y.alias("y")), step)
+
+
+def straight_pixels(x, y, k, dist):
+    """struct(x, y): pixels of a camera (k array of 9) freed of its lens distortion; NULL distortion leaves them as they are."""
+    fx, cx, fy, cy = (F.get(k, i) for i in (0, 2, 4, 5))
+    free = F.get(F.transform(F.array(undistort((x - cx) / fx, (y - cy) / fy, dist)), lambda u: F.struct((u["x"] * fx + cx).alias("x"), (u["y"] * fy + cy).alias("y"))), 0)
+    return F.when(dist.isNotNull(), free).otherwise(F.struct(x.alias("x"), y.alias("y")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.functions import camera
-from geolattice.operators import knn, solve
+from geolattice.operators import knn, rerank, solve
 from geolattice.operators import localize as pose_pipeline
 from geolattice.scratch import staged
 
@@ -77,6 +77,14 @@ def solve_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("query_id", "status", "n_points", "n_inliers", *[(F.round(c[i], 4) + 0.0).alias(f"c{i}") for i in range(3)], (F.round(F.get("r", 2), 4) + 0.0).alias("r02"))
 
 
+def four_point_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses from four points each, all right; a pose counts as found if all four fit."""
+    v = _views(spark, sf_dir).filter("k IN (0, 5, 10, 15)")
+    points = solve.triangulate(v, ["q", "k"]).join(v.select("q", "k", F.get("x", 0).alias("px"), F.get("x", 1).alias("py")), ["q", "k"])
+    s = solve.solve_poses(points.select(F.col("q").alias("query_id"), "x", "y", "z", "px", "py", _k().alias("k")))
+    return s.select("query_id", "status", "n_points", "n_inliers")
+
+
 def two_view_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pose of the second reference relative to the first, up to scale."""
     n = lambda x, i: (F.get(x, i) - MIDDLE) / FOCAL
@@ -96,7 +104,7 @@ def undistort_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bent.select("q", "k", u.alias("u")).select("q", "k", (F.round("u.x", 6) + 0.0).alias("x"), (F.round("u.y", 6) + 0.0).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (triangulate_scenes, solve_poses, two_view_poses, undistort_points)}
+QUERIES = {f.__name__: f for f in (triangulate_scenes, solve_poses, four_point_poses, two_view_poses, undistort_points)}
 
 _SCENE = "s AS (SELECT vec_id AS q, k, (k * 7 + vec_id) % 11 - 5e0 AS x, (k * 5 + vec_id * 3) % 9 - 4e0 AS y, 10e0 + (k * 3 + vec_id * 2) % 7 AS z FROM embeddings, range(0, 24) g(k))"
 
@@ -104,6 +112,7 @@ ORACLES = {
     "triangulate_scenes": f"WITH {_SCENE} SELECT q, k, x + 0e0 AS x, y + 0e0 AS y, z FROM s",
     "solve_poses": """SELECT vec_id AS query_id, 'ok' AS status, CAST(24 AS INTEGER) AS n_points, CAST(20 AS INTEGER) AS n_inliers, round((vec_id % 5) / 5e0, 4) AS c0, round((vec_id % 3) / 10e0, 4) AS c1,
 round(-(vec_id % 4) / 4e0, 4) + 0e0 AS c2, round(sin(radians(vec_id % 7 - 3e0)), 4) + 0e0 AS r02 FROM embeddings""",
+    "four_point_poses": "SELECT vec_id AS query_id, 'ok' AS status, CAST(4 AS INTEGER) AS n_points, CAST(4 AS INTEGER) AS n_inliers FROM embeddings",
     "two_view_poses": """WITH t AS (SELECT radians(5e0) AS a, sqrt(1.04e0) AS n) SELECT vec_id AS query_id, 'ok' AS status, CAST(24 AS INTEGER) AS n_inliers, round(-cos(a) / n, 3) AS t0, round(-0.2e0 / n, 3) AS t1, round(sin(a) / n, 3) AS t2, round(sin(a), 4) AS r02 FROM embeddings, t""",
     "undistort_points": f"WITH {_SCENE} SELECT q, k, round(x / z, 6) + 0e0 AS x, round(y / z, 6) + 0e0 AS y FROM s",
 }
@@ -123,27 +132,80 @@ def _reference_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("ref_id", _k().alias("K"), r.alias("R"), camera.translation_from_center(r, c).alias("T"))
 
 
-def localize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth vector asks; references are retrieved by cosine, and see its scene."""
+#: Lens distortion of the bent scenes.
+_LENS = (-0.08, 0.02, 0.001, -0.0015, 0.003)
+
+
+def _bent(x: Column) -> Column:
+    """A pixel as a lens with ``_LENS`` shows it."""
+    k1, k2, p1, p2, k3 = _LENS
+    u, v = (F.get(x, 0) - MIDDLE) / FOCAL, (F.get(x, 1) - MIDDLE) / FOCAL
+    r2 = u * u + v * v
+    radial = 1 + k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
+    return F.array(FOCAL * (u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u)) + MIDDLE, FOCAL * (v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v) + MIDDLE)
+
+
+def _asked(spark: SparkSession, sf_dir: str, config: pose_pipeline.Config, lens: bool = False, wrong: bool = False) -> DataFrame:
+    """Every fiftieth vector asks; references are retrieved over all vectors, and see its scene.
+
+    With ``lens`` all pixels are bent; with ``wrong`` every sixth keypoint is matched elsewhere.
+    """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     unit = knn.normalized(vectors, "vec_id", "embedding")
-    asked = F.col("id") % EVERY == 0
-    found = knn.cosine_topk(unit, unit.filter(asked), K_REFS)
-    retrieved = staged(found.select(F.col("qid").alias("query_id"), (F.col("rank") - 1).alias("ref_rank"), F.col("gid").alias("ref_id")), "retrieved")
+    asked = unit.filter(F.col("id") % EVERY == 0)
+    retrieved = staged(rerank.retrieve(unit, asked, K_REFS, True) if config.rerank else _retrieved(unit, asked), "retrieved")
     cams = _reference_cameras(spark, sf_dir)
     scene = _scene(spark, sf_dir).filter(F.col("q") % EVERY == 0)
     tq = camera.translation_from_center(_query_rotation(), _query_center())
-    pixels = scene.select("q", "k", _project(_query_rotation(), tq, F.col("world")).alias("x"))
+    shown = _bent if lens else lambda x: x
+    pixels = scene.select("q", "k", _project(_query_rotation(), tq, F.col("world")).alias("x")).select("q", "k", shown(F.col("x")).alias("x"))
     queries = pixels.groupBy(F.col("q").alias("query_id")).agg(F.collect_list(F.struct(F.col("k").alias("kp_idx"), F.get("x", 0).alias("px"), F.get("x", 1).alias("py"))).alias("keypoints")).withColumn("K", camera.column(_k()))
+    if lens:
+        dist = F.array(*[F.lit(v) for v in _LENS])
+        queries, cams = queries.withColumn("dist", dist), cams.withColumn("dist", dist)
     seen = retrieved.join(cams, "ref_id").join(scene.withColumnRenamed("k", "kp"), F.col("query_id") == F.col("q"))
-    pixel = _project(F.col("R"), F.col("T"), F.col("world"))
+    seen = seen.withColumn("x", shown(_project(F.col("R"), F.col("T"), F.col("world"))))
     conf = 0.55 + ((F.col("kp") * 37 + F.col("ref_rank") * 91 + F.col("q") * 53) % 400) / 1000.0
-    matches = seen.select("query_id", "ref_id", F.col("kp").alias("kp_idx"), conf.alias("confidence"), F.get(pixel, 0).alias("x"), F.get(pixel, 1).alias("y"))
-    done = pose_pipeline.localize(queries, retrieved, cams, matches, pose_pipeline.Config(k=K_REFS))
+    off = F.when(F.col("kp") % 6 == 5, 1.0 + F.col("ref_rank")).otherwise(0.0) if wrong else F.lit(0.0)
+    matches = seen.select("query_id", "ref_id", F.col("kp").alias("kp_idx"), conf.alias("confidence"), (F.get("x", 0) + 35 * off).alias("x"), (F.get("x", 1) - 20 * off).alias("y"))
+    return pose_pipeline.localize(queries, retrieved, cams, matches, config)
+
+
+def _retrieved(unit: DataFrame, asked: DataFrame) -> DataFrame:
+    found = knn.cosine_topk(unit, asked, K_REFS)
+    return found.select(F.col("qid").alias("query_id"), (F.col("rank") - 1).alias("ref_rank"), F.col("gid").alias("ref_id"))
+
+
+def _centres(done: DataFrame, *more: str, least: int = 20) -> DataFrame:
     c = camera.camera_center(F.col("r"), F.col("t"))
-    return done.select("query_id", "status", "n_cameras", "n_points", (F.col("n_inliers") >= 20).alias("supported"), *[(F.round(c[i], 4) + 0.0).alias(f"c{i}") for i in range(3)])
+    return done.select("query_id", "status", "n_cameras", *more, (F.col("n_inliers") >= least).alias("supported"), *[(F.round(c[i], 4) + 0.0).alias(f"c{i}") for i in range(3)])
+
+
+def localize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centres(_asked(spark, sf_dir, pose_pipeline.Config(k=K_REFS)), "n_points")
+
+
+def localize_distorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bent pixels on both sides, and four wrong matches of 24; a point on the line of two cameras may be lost too."""
+    return _centres(_asked(spark, sf_dir, pose_pipeline.Config(k=K_REFS), lens=True, wrong=True), least=18)
+
+
+def localize_expansion2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accepted pairs and the two-view points of each reference, over re-ranked references.
+
+    Two-view points are not to scale; those that fit within a pixel by chance move the pose by
+    centimetres, so the answer is whether it is within a quarter of a metre of the truth.
+    """
+    done = _asked(spark, sf_dir, pose_pipeline.Config(k=K_REFS, rerank=True, policy=pose_pipeline.Policy.EXPANSION2))
+    c, true = camera.camera_center(F.col("r"), F.col("t")), _query_center()
+    q = done.withColumnRenamed("query_id", "q")
+    near = sum(F.pow(c[i] - true[i], 2) for i in range(3)) < 0.0625
+    return q.select(F.col("q").alias("query_id"), "status", "n_cameras", (F.col("n_inliers") >= 20).alias("supported"), near.alias("near"))
 
 
+QUERIES |= {f.__name__: f for f in (localize_distorted, localize_expansion2)}
 QUERIES["localize"] = localize
 ORACLES["localize"] = f"""SELECT vec_id AS query_id, 'ok' AS status, CAST({K_REFS} AS INTEGER) AS n_cameras, CAST(24 AS INTEGER) AS n_points, true AS supported,
 round((vec_id % 5) / 5e0, 4) AS c0, round((vec_id % 3) / 10e0, 4) AS c1, round(-(vec_id % 4) / 4e0, 4) + 0e0 AS c2 FROM embeddings WHERE vec_id % {EVERY} = 0"""
+ORACLES["localize_distorted"] = ORACLES["localize"].replace("CAST(24 AS INTEGER) AS n_points, ", "")
+ORACLES["localize_expansion2"] = f"SELECT vec_id AS query_id, 'ok' AS status, CAST({K_REFS} AS INTEGER) AS n_cameras, true AS supported, true AS near FROM embeddings WHERE vec_id % {EVERY} = 0"
