@@ -145,6 +145,38 @@ def matrix_to_quaternion(r: Column) -> Column:
     return F.when(F.get(q, 0) < 0, F.transform(q, lambda v: -v)).otherwise(q)
 
 
+def assembled(w: Column, h: Column, fov: Column, k: Column, e: Column, dist: Column) -> Column:
+    """struct(w, h, K, dist, R, T): a camera from metadata; K as given or from the field of view, R and T from the pose."""
+    return F.struct(w.alias("w"), h.alias("h"), intrinsics(w, h, fov, k).alias("K"), dist.alias("dist"), rotation_of(e).alias("R"), translation_of(e).alias("T"))
+
+
+def homogeneous(x: Column) -> Column:
+    """Coordinates with a one at the end."""
+    return F.concat(x, F.array(F.lit(1.0)))
+
+
+def turned_pose(e: Column, quarter_turns: Column) -> Matrix:
+    """A 4x4 pose turned about the optical axis by quarter turns; the turn by n is one of -90 n degrees."""
+    q = F.pmod(quarter_turns, F.lit(4))
+    c, s = F.when(q == 0, 1.0).when(q == 2, -1.0).otherwise(0.0), F.when(q == 1, -1.0).when(q == 3, 1.0).otherwise(0.0)
+    first = [c * at(e, i) - s * at(e, 4 + i) for i in range(4)]
+    second = [s * at(e, i) + c * at(e, 4 + i) for i in range(4)]
+    return Matrix([*first, *second, *[at(e, i) for i in range(8, 16)]])
+
+
+def pose_errors(r1: Column, t1: Column, r2: Column, t2: Column) -> Column:
+    """struct(t_err, r_err) in degrees: the folded angle of translation directions and the angle of rotations."""
+    return F.struct(folded(vector_angle(t1, t2)).alias("t_err"), rotation_error(r1, r2).alias("r_err"))
+
+
+def resized(w: Column, h: Column, size: tuple[int, ...]) -> Column:
+    """struct(w, h): size (n,) makes the longer side n, (-1,) keeps it, (a, b) is exact; sizes round half to even."""
+    if len(size) == 2:
+        return F.struct(F.lit(size[0]).alias("w"), F.lit(size[1]).alias("h"))
+    scale = F.lit(1.0) if size[0] < 0 else F.lit(float(size[0])) / F.greatest(w, h)
+    return F.struct(F.bround(w * scale, 0).cast("int").alias("w"), F.bround(h * scale, 0).cast("int").alias("h"))
+
+
 def scaled_intrinsics(k: Column, sx: Column, sy: Column) -> Column:
     """Intrinsics after dividing pixel coordinates by the axis scales."""
     z, one = F.lit(0.0), F.lit(1.0)

@@ -22,3 +22,8 @@ def update_geodata(entries: DataFrame, anchor: dict[str, float]) -> DataFrame:
 def contrastive_loss(positive: Column, negative: Column) -> Column:
     """-log softmax of negated squared distances of a positive against one negative."""
     return F.log1p(F.exp(positive - negative))
+
+
+def joint_contrastive_loss(positive: Column, negatives: Column) -> Column:
+    """-log softmax of negated squared distances of a positive against an array of negatives."""
+    return F.log1p(F.aggregate(negatives, F.lit(0.0), lambda acc, n: acc + F.exp(positive - n)))

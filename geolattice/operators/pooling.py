@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolattice.scratch import staged
+
 
 def mac(features: DataFrame) -> DataFrame:
     return features.groupBy("image", "channel").agg(F.max("value").alias("x"))
@@ -71,6 +77,41 @@ def netvlad(features: DataFrame, centroids: DataFrame, alpha: float) -> DataFram
     return intra.select("image", "k", "channel", (F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("image")))).alias("x"))
 
 
+def netvlad_init(features: DataFrame, clusters: int, images: int = 500, per_image: int = 100, rounds: int = 100, seed: int = 0) -> tuple[DataFrame, float]:
+    """(centroids (k, channel, value), alpha) for ``netvlad``, from a bounded sample of unit cell descriptors.
+
+    Features are (image, cell, channel, value); ``images`` images and of each ``per_image`` cells
+    are drawn by hash, and k-means runs on them. alpha gives a cell's second-best centroid one
+    hundredth of the weight of its best, on average over the sample.
+    """
+    draw = lambda *c: F.xxhash64(F.lit(seed), *c)
+    chosen = features.select("image").distinct().orderBy(draw("image"), "image").limit(images)
+    cells = features.join(F.broadcast(chosen), "image").groupBy("image", "cell").agg(F.sort_array(F.collect_list(F.struct("channel", "value"))).alias("v"))
+    nth = Window.partitionBy("image").orderBy(draw("image", "cell"), "cell")
+    cells = cells.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= per_image)
+    values = F.transform("v", lambda x: x["value"])
+    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+    unit = staged(cells.select(F.transform(values, lambda x: x / norm).alias("v")).filter("forall(v, x -> x IS NOT NULL AND NOT isnan(x))"), "vlad-sample")
+    fitted = KMeans(k=clusters, maxIter=rounds, seed=seed, featuresCol="f").fit(unit.select(array_to_vector("v").alias("f")))
+    centers = [[float(x) for x in c] for c in fitted.clusterCenters()]
+    spark = features.sparkSession
+    table = spark.createDataFrame([(k, channel, x) for k, c in enumerate(centers) for channel, x in enumerate(c)], "k long, channel long, value double")
+    length = [sum(x * x for x in c) ** 0.5 or 1.0 for c in centers]
+    dots = F.array(*[F.aggregate(F.zip_with("v", F.lit([x / n for x in c]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) for c, n in zip(centers, length, strict=True)])
+    ranked = unit.select(F.sort_array(dots, asc=False).alias("d"))
+    gap = ranked.agg(F.avg(F.get("d", 0) - F.get("d", 1))).first()[0] if clusters > 1 else None
+    return table, math.log(100.0) / gap if gap else 1.0
+
+
+#: Aggregations by the name that a configuration gives them.
+AGGREGATIONS = {"mac": mac, "spoc": spoc, "gem": gem, "rmac": rmac, "netvlad": netvlad}
+
+
+def aggregation(name: str):
+    """The pooling of that name, in any case; an unknown name raises KeyError."""
+    return AGGREGATIONS[name.lower()]
+
+
 def attention_pool(tokens: DataFrame, temperature: float = 1.0) -> DataFrame:
     """(image, channel, x): softmax-weighted mean over tokens (image, token, score, channel, value)."""
     scores = tokens.select("image", "token", "score").distinct()
@@ -80,11 +121,14 @@ def attention_pool(tokens: DataFrame, temperature: float = 1.0) -> DataFrame:
     return weighted.groupBy("image", "channel").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("x"))
 
 
-def batch_moments(values: DataFrame, eps: float = 1e-5) -> DataFrame:
-    """(channel, n, mean, var, unbiased, inv_std): moments from sums, sums of squares and counts that tasks pre-aggregate."""
+def batch_moments(values: DataFrame, eps: float = 1e-5, added: bool = False) -> DataFrame:
+    """(channel, n, mean, var, unbiased, inv_std): moments from sums, sums of squares and counts that tasks pre-aggregate.
+
+    ``eps`` is the least variance of inv_std or, with ``added``, a summand of it.
+    """
     sums = values.groupBy("channel").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     spread = F.col("ss") - F.col("s") * (F.col("s") / F.col("n"))
-    return sums.select("channel", "n", (F.col("s") / F.col("n")).alias("mean"), (spread / F.col("n")).alias("var"), F.when(F.col("n") > 1, spread / (F.col("n") - 1)).alias("unbiased"), (1 / F.sqrt(F.greatest(spread / F.col("n"), F.lit(eps)))).alias("inv_std"))
+    return sums.select("channel", "n", (F.col("s") / F.col("n")).alias("mean"), (spread / F.col("n")).alias("var"), F.when(F.col("n") > 1, spread / (F.col("n") - 1)).alias("unbiased"), (1 / F.sqrt(spread / F.col("n") + eps if added else F.greatest(spread / F.col("n"), F.lit(eps)))).alias("inv_std"))
 
 
 def ema(values: DataFrame, key: str, order: str, decay: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geolattice.functions import text
 from geolattice.operators import datasets, geodata, matching, pooling, streets
+from geolattice.plans.cameras import _vincenty
 from geolattice.plans.fixtures import CAMERAS, cameras
 
 
@@ -44,8 +45,10 @@ def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complement_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an order of a high price; the keys of some orders are NULL and exclude nobody."""
     c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
-    return c.select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    dear = o.filter("o_totalprice > 400000").select(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("key"))
+    return c.select("c_custkey").join(dear, F.col("c_custkey") == F.col("key"), "left_anti")
 
 
 def intersect_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +130,12 @@ def batch_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("channel", "n", *[F.round(c, 6).alias(c) for c in ("mean", "var", "unbiased", "inv_std")])
 
 
+def batch_moments_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant that adds eps to the variance."""
+    line = _read(spark, sf_dir, "lineitem").select((F.col("l_linenumber")).alias("channel"), (F.col("l_quantity") - 25).alias("value"))
+    return pooling.batch_moments(line, eps=0.5, added=True).select("channel", "n", F.round("inv_std", 6).alias("inv_std"))
+
+
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").select("event_type", "event_id", "value")
     return pooling.ema(e, "event_type", "event_id", 0.9).select("event_type", F.round("ema", 6).alias("ema"))
@@ -193,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         natural_sort, path_names, dedupe_first, heading_explode, chunk_rows, every_nth, complement_set, intersect_set, union_append, distinct_coordinates, last_wins_merge, edge_endpoints,
-        json_metadata, mac_pool, spoc_pool, gem_pool, rmac_pool, attention_pool, netvlad_pool, batch_moments, ema, clip_histogram, positional_table, colour_ramp,
+        json_metadata, mac_pool, spoc_pool, gem_pool, rmac_pool, attention_pool, netvlad_pool, batch_moments, batch_moments_added, ema, clip_histogram, positional_table, colour_ramp,
         suppressed_keypoints, topk_keypoints, normalized_keypoints, mutual_nn, sinkhorn,
     )
 }
@@ -214,7 +223,8 @@ def _sinkhorn_sql(rounds: int) -> str:
     return f"WITH {', '.join(out)} SELECT pair, i, j, round(s + u + v + ln(11), 6) AS z FROM t JOIN u{rounds} USING (pair, i) JOIN v{rounds} USING (pair, j)"
 
 
-_RMAC_REGIONS = "r AS (SELECT * FROM (VALUES {}) v(id, t, l, h, w))"
+#: Regions of a map of 4 by 2 at one level as (id, top, left, height, width).
+_RMAC_REGIONS = "r AS (SELECT * FROM (VALUES (0, 0, 0, 2, 4), (1, 0, 0, 2, 2), (2, 0, 1, 2, 2), (3, 0, 2, 2, 2)) v(id, t, l, h, w))"
 
 ORACLES = {
     "natural_sort": "SELECT 'img' || s_suppkey || '_' || s_nationkey || '.jpg' AS path, row_number() OVER (ORDER BY s_suppkey, s_nationkey) - 1 AS pos FROM supplier",
@@ -224,7 +234,7 @@ SELECT s_suppkey, replace(left(path, length(path) - 4), '/', '_') AS name, rtrim
     "heading_explode": "SELECT vec_id AS entry_id, CAST(h AS INTEGER) AS heading FROM embeddings, range(0, 360, 51) g(h)",
     "chunk_rows": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 300 AS chunk, (row_number() OVER (ORDER BY o_orderkey) - 1) % 300 AS pos FROM orders",
     "every_nth": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n % 7 = 0 AND n < 7000",
-    "complement_set": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "complement_set": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000 AND CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END = c_custkey)",
     "intersect_set": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "union_append": "SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY nation",
     "distinct_coordinates": f"SELECT count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM (SELECT DISTINCT round(lat, 3) AS lat, round(lng, 3) AS lng FROM ({CAMERAS}))",
@@ -234,6 +244,8 @@ SELECT s_suppkey, replace(left(path, length(path) - 4), '/', '_') AS name, rtrim
     "mac_pool": f"WITH {_FEATURES} SELECT image, channel, round(max(value), 6) + 0e0 AS x FROM f GROUP BY image, channel",
     "spoc_pool": f"WITH {_FEATURES} SELECT image, channel, round(avg(value), 6) + 0e0 AS x FROM f GROUP BY image, channel",
     "gem_pool": f"WITH {_FEATURES} SELECT image, channel, round(pow(avg(pow(greatest(value, 1e-6), 3)), 1 / 3e0), 6) + 0e0 AS x FROM f GROUP BY image, channel",
+    "rmac_pool": f"""WITH {_FEATURES}, {_RMAC_REGIONS}, m AS (SELECT image, id, channel, max(value) AS m FROM f JOIN r ON y >= t AND y < t + h AND x >= l AND x < l + w GROUP BY image, id, channel),
+u AS (SELECT image, channel, m / (sqrt(sum(m * m) OVER (PARTITION BY image, id)) + 1e-6) AS u FROM m) SELECT image, channel, round(sum(u), 6) + 0e0 AS x FROM u GROUP BY image, channel""",
     "attention_pool": f"WITH {_FEATURES}, w AS (SELECT *, exp(((image * 7 + cell * 3) % 5) / 2e0) AS w FROM f) SELECT image, channel, round(sum(w * value) / sum(w), 6) + 0e0 AS x FROM w GROUP BY image, channel",
     "netvlad_pool": f"""WITH {_FEATURES}, c AS (SELECT i // 8 AS k, i % 8 AS channel, ((i * 5) % 7 - 3) / 10e0 AS c FROM range(0, 32) g(i)),
 z AS (SELECT image, cell, k, exp(sum(4 * value * c - 2 * c * c)) AS e FROM f JOIN c USING (channel) GROUP BY image, cell, k), a AS (SELECT image, cell, k, e / sum(e) OVER (PARTITION BY image, cell) AS a FROM z),
@@ -241,6 +253,7 @@ s AS (SELECT image, k, channel, sum(a * (value - c)) AS v FROM f JOIN c USING (c
 n AS (SELECT image, k, channel, v / sqrt(sum(v * v) OVER (PARTITION BY image, k)) AS v FROM s) SELECT image, k, channel, round(v / sqrt(sum(v * v) OVER (PARTITION BY image)), 6) + 0e0 AS x FROM n""",
     "batch_moments": """SELECT l_linenumber AS channel, count(*) AS n, round(avg(l_quantity - 25), 6) AS mean, round(var_pop(l_quantity - 25), 6) AS var, round(var_samp(l_quantity - 25), 6) AS unbiased,
 round(1 / sqrt(greatest(var_pop(l_quantity - 25), 1e-5)), 6) AS inv_std FROM lineitem GROUP BY l_linenumber""",
+    "batch_moments_added": "SELECT l_linenumber AS channel, count(*) AS n, round(1 / sqrt(var_pop(l_quantity - 25) + 0.5e0), 6) AS inv_std FROM lineitem GROUP BY l_linenumber",
     "ema": """WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS age, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(sum(pow(0.9e0, age) * CASE WHEN age = n - 1 THEN 1e0 ELSE 0.1e0 END * value), 6) AS ema FROM o GROUP BY event_type""",
     "clip_histogram": """WITH h AS (SELECT CAST(floor(p_retailprice) AS BIGINT) % 256 AS level, count(*) AS n FROM part GROUP BY 1), c AS (SELECT level, sum(n) OVER (ORDER BY level) AS cum, sum(n) OVER () AS total FROM h),
@@ -293,6 +306,13 @@ def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(geodata.contrastive_loss(F.col("p_size") / 10.0, (F.col("p_partkey") % 17) / 5.0), 6).alias("loss"))
 
 
+def joint_contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A positive against three negatives at once."""
+    p = _read(spark, sf_dir, "part")
+    others = F.array(*[(F.col("p_partkey") % n) / 5.0 for n in (17, 13, 11)])
+    return p.select("p_partkey", F.round(geodata.joint_contrastive_loss(F.col("p_size") / 10.0, others), 6).alias("loss"))
+
+
 def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors sampled from the 2 by 4 grids of the embeddings at five points each."""
     grid = _features(spark, sf_dir).select("image", F.col("y").alias("gy"), F.col("x").alias("gx"), "channel", "value")
@@ -301,11 +321,19 @@ def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.sampled_descriptors(grid, points).select("image", "y", "x", "channel", (F.round("v", 6) + 0.0).alias("v"))
 
 
-QUERIES |= {f.__name__: f for f in (merged_lines, network_distance, street_samples, updated_geodata, contrastive_loss, sampled_descriptors)}
+QUERIES |= {f.__name__: f for f in (merged_lines, network_distance, street_samples, updated_geodata, contrastive_loss, joint_contrastive_loss, sampled_descriptors)}
 
 _STREETS = "e AS (SELECT vec_id AS u, vec_id + 1 AS v FROM embeddings WHERE vec_id % 25 < 24 UNION ALL SELECT vec_id - 25, vec_id FROM embeddings WHERE vec_id >= 25 AND (vec_id % 25 = 0 OR vec_id % 25 = 24))"
 
 ORACLES |= {
+    "merged_lines": f"""WITH RECURSIVE {_STREETS}, n AS (SELECT *, row_number() OVER (ORDER BY least(u, v), greatest(u, v)) AS i FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e)),
+t AS (SELECT i, u AS node FROM n UNION ALL SELECT i, v FROM n), two AS (SELECT node, min(i) AS a, max(i) AS b FROM t GROUP BY node HAVING count(*) = 2), l AS (SELECT a, b FROM two UNION SELECT b, a FROM two),
+r AS (SELECT i, i AS j FROM n UNION SELECT r.i, l.b FROM r JOIN l ON l.a = r.j), c AS (SELECT i, min(j) AS line FROM r GROUP BY i)
+SELECT min(u) AS low, max(v) AS high, count(*) + 1 AS n FROM c JOIN n USING (i) GROUP BY line""",
+    "updated_geodata": f"""WITH {_vincenty().replace("o.lat AS lat0, o.lng AS lng0, o.alt AS alt0, o.azn AS azn0 FROM c0 c, c0 o WHERE o.entry_id = 0", "49.84e0 AS lat0, 24.03e0 AS lng0, 290e0 AS alt0, 0e0 AS azn0 FROM c0 c")},
+ra AS (SELECT entry_id, radians(90 - azimuth) AS th, distance AS d, alt - alt0 AS up, radians(azn0 - azn) AS ya FROM geo), rb AS (SELECT entry_id, ya, cos(th) * d AS cx, -up AS cy, sin(th) * d AS cz FROM ra)
+SELECT entry_id, 320e0 AS f, round(-(cos(ya) * cx + sin(ya) * cz), 4) + 0e0 AS t0, round(-cy, 4) + 0e0 AS t1, round(sin(ya) * cx - cos(ya) * cz, 4) + 0e0 AS t2, 49.84e0 AS baselat, 290e0 AS basealt FROM rb""",
+    "joint_contrastive_loss": "SELECT p_partkey, round(ln(1 + exp(p_size / 10e0 - p_partkey % 17 / 5e0) + exp(p_size / 10e0 - p_partkey % 13 / 5e0) + exp(p_size / 10e0 - p_partkey % 11 / 5e0)), 6) AS loss FROM part",
     "network_distance": f"""WITH RECURSIVE {_STREETS}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS d UNION SELECT b.v, r.d + 1 FROM r JOIN b ON b.u = r.node WHERE r.d < 20) SELECT node, min(d)::DOUBLE AS dist FROM r GROUP BY node""",
     "contrastive_loss": "SELECT p_partkey, round(ln(1 + exp(p_size / 10e0 - p_partkey % 17 / 5e0)), 6) AS loss FROM part",

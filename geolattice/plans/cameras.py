@@ -117,6 +117,27 @@ def relative_extrinsic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entry_id", "pos", (F.round("x", 4) + 0.0).alias("x"))
 
 
+def turned_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses turned about the optical axis by quarter turns."""
+    v = F.col("entry_id")
+    e = camera.Matrix([*[(v % 7 + i).cast("double") for i in range(8)], *[F.lit(0.0)] * 3, v.cast("double"), *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]])
+    return cameras(spark, sf_dir).select("entry_id", F.posexplode(camera.column(camera.turned_pose(e, v))).alias("pos", "x")).select("entry_id", "pos", (F.col("x") + 0.0).alias("x"))
+
+
+def pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of rotations about one axis and of translations in a plane."""
+    v = F.col("entry_id")
+    a, b = F.radians((v % 23 * 15 + 7).cast("double")), F.lit(0.0)
+    err = camera.pose_errors(camera.rotation_y(b), [F.lit(1.0), F.lit(0.0), F.lit(0.0)], camera.rotation_y((v % 17 * 10 + 5).cast("double")), [2 * F.cos(a), F.lit(0.0), 2 * F.sin(a)])
+    return cameras(spark, sf_dir).select("entry_id", err.alias("e")).select("entry_id", F.round("e.t_err", 5).alias("t_err"), F.round("e.r_err", 5).alias("r_err"))
+
+
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    w, h = F.col("p_partkey") % 2000 + 1, F.col("p_size") * 37 + 5
+    return p.select("p_partkey", camera.resized(w, h, (500,)).alias("s"), camera.resized(w, h, (-1,)).alias("k"), camera.resized(w, h, (64, 48)).alias("x")).select("p_partkey", "s.w", "s.h", F.col("k.w").alias("kept"), F.col("x.h").alias("exact"))
+
+
 def geodesic_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jitters every camera by a distance and azimuth derived from its id."""
     g = geodesy.direct(F.col("lat"), F.col("lng"), (F.col("entry_id") * 37 % 360).cast("double"), 1.0 + F.col("entry_id") % 50)
@@ -133,6 +154,7 @@ QUERIES = {
     for f in (
         intrinsics_from_fov, camera_center, projection_matrix, pose_round_trip, relative_pose, rotation_error, pose_error, quat_to_matrix,
         matrix_to_quat, rotated_intrinsics, epipolar_error, intrinsics_rescale, geodesic_inverse, relative_extrinsic, geodesic_direct, utm_forward,
+        turned_pose, pose_errors, resized_images,
     )
 }
 
@@ -245,6 +267,12 @@ ORACLES = {
     "epipolar_error": f"WITH {_POSES}, {_EPI} SELECT v, round(pow(x1 * a + y1 * b + c, 2) * (1 / (a * a + b * b) + 1 / (g * g + h * h)), 6) AS err FROM e2",
     "intrinsics_rescale": """WITH p AS (SELECT p_partkey, p_partkey % 2000 + 1 AS w, p_size * 37 + 5 AS h FROM part), s AS (SELECT *, least(1e0, 640e0 / greatest(w, h)) AS scale FROM p)
 SELECT p_partkey, round(scale, 6) AS scale, CAST(round_even(w * scale, 0) AS INTEGER) AS w, CAST(round_even(h * scale, 0) AS INTEGER) AS h FROM s""",
+    "turned_pose": """WITH c AS (SELECT vec_id AS v, CASE vec_id % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS c, CASE vec_id % 4 WHEN 1 THEN -1 WHEN 3 THEN 1 ELSE 0 END AS s FROM embeddings)
+SELECT v AS entry_id, CAST(i AS INTEGER) AS pos, (CASE WHEN i < 4 THEN c * (v % 7 + i) - s * (v % 7 + 4 + i) WHEN i < 8 THEN s * (v % 7 + i - 4) + c * (v % 7 + i) WHEN i = 11 THEN v WHEN i = 15 THEN 1 ELSE 0 END)::DOUBLE AS x FROM c, range(0, 16) g(i)""",
+    "pose_errors": """WITH a AS (SELECT vec_id AS entry_id, vec_id % 23 * 15 + 7 AS t, vec_id % 17 * 10 + 5 AS r FROM embeddings), b AS (SELECT entry_id, CASE WHEN t > 180 THEN 360 - t ELSE t END AS t, r FROM a)
+SELECT entry_id, round(least(t, 180 - t)::DOUBLE, 5) AS t_err, round(r::DOUBLE, 5) AS r_err FROM b""",
+    "resized_images": """WITH p AS (SELECT p_partkey, p_partkey % 2000 + 1 AS w, p_size * 37 + 5 AS h FROM part)
+SELECT p_partkey, CAST(round_even(w * (500e0 / greatest(w, h)), 0) AS INTEGER) AS w, CAST(round_even(h * (500e0 / greatest(w, h)), 0) AS INTEGER) AS h, CAST(w AS INTEGER) AS kept, CAST(48 AS INTEGER) AS exact FROM p""",
     "geodesic_inverse": f"WITH {_vincenty()} SELECT entry_id, round(azimuth, 5) AS azimuth, round(distance, 4) AS distance FROM geo",
     "relative_extrinsic": f"""WITH {_vincenty()}, ra AS (SELECT entry_id, radians(90 - (azimuth - azn0)) AS th, distance AS d, alt - alt0 AS up, radians(azn0 - azn) AS ya FROM geo),
 rb AS (SELECT entry_id, [cos(th) * d, -up, sin(th) * d] AS c, [cos(ya), 0, sin(ya), 0, 1, 0, -sin(ya), 0, cos(ya)] AS r FROM ra), rd AS (SELECT entry_id, r, {_mul('r', 'c', 3, 3, 1)} AS m FROM rb) """

@@ -55,7 +55,9 @@ def displacement_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expansion_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cloud.expansion(_pairs(spark, sf_dir), THRESHOLD).withColumn("conf", F.round("conf", 6))
+    """Accepted pairs by query and references: their number, keypoints added up and confidence."""
+    taken = cloud.expansion(_pairs(spark, sf_dir), THRESHOLD)
+    return taken.groupBy("query_id", "i", "j").agg(F.count("*").alias("n"), F.sum("kp_idx").alias("keypoints"), F.round(F.sum("conf"), 6).alias("conf"))
 
 
 def min_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,31 @@ def median_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.median_errors(_errors(spark, sf_dir)).select(F.round("t_median", 6).alias("t_median"), F.round("r_median", 6).alias("r_median"))
 
 
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of which some translations are NaN, some rotations of the first part NaN, and some of both NULL."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, nan = F.col("o_orderkey"), F.lit(float("nan"))
+    t = F.when(k % 50 == 1, nan).when(k % 70 != 2, k * 7 % 97 / F.lit(10.0))
+    r = F.when((k % 60 == 3) & (k % 2 == 1), nan).when(k % 70 != 3, k * 11 % 89 / F.lit(8.0))
+    return o.select((k % 2).alias("part"), t.alias("t_err"), r.alias("r_err"))
+
+
+def median_errors_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians where NaN occurs: translations leave it out, one NaN rotation makes the median NaN."""
+    rows = _broken(spark, sf_dir)
+    parts = [metrics.median_errors(rows.filter(F.col("part") == p)).select(F.lit(p).alias("part"), F.round("t_median", 6).alias("t_median"), F.isnan("r_median").alias("r_is_nan"), F.when(~F.isnan("r_median"), F.round("r_median", 6)).alias("r_median")) for p in (0, 1)]
+    return parts[0].union(parts[1])
+
+
+def accuracy_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN and NULL errors pass no threshold but count as rows."""
+    return metrics.accuracy_at_thresholds(_broken(spark, sf_dir), THRESHOLDS)
+
+
+_BROKEN = """e AS (SELECT o_orderkey % 2 AS part, CASE WHEN o_orderkey % 50 = 1 THEN 'nan'::DOUBLE WHEN o_orderkey % 70 <> 2 THEN o_orderkey * 7 % 97 / 10e0 END AS t_err,
+ CASE WHEN o_orderkey % 60 = 3 AND o_orderkey % 2 = 1 THEN 'nan'::DOUBLE WHEN o_orderkey % 70 <> 3 THEN o_orderkey * 11 % 89 / 8e0 END AS r_err FROM orders)"""
+
+
 def pose_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of these errors fall on ties of rounding; both sides are moved off them."""
     errors = _errors(spark, sf_dir).select(F.greatest("t_err", "r_err").alias("err"))
@@ -95,7 +122,7 @@ def resample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (proximity_links, filter_distant_cameras, component_sizes, match_cooccurrence, displacement_policy, expansion_policy, min_support, accuracy_at_thresholds, median_errors, pose_auc, resample_lines)
+    for f in (proximity_links, filter_distant_cameras, component_sizes, match_cooccurrence, displacement_policy, expansion_policy, min_support, accuracy_at_thresholds, median_errors, median_errors_nan, accuracy_with_nan, pose_auc, resample_lines)
 }
 
 _DISPLACED = f"""{_PAIRS},
@@ -110,10 +137,13 @@ b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, comp) AS k FR
     "component_sizes": f"WITH RECURSIVE {_POSITIONS}, {_LINKS}, {_REACH} SELECT g, comp, count(*) AS n FROM comp GROUP BY g, comp",
     "match_cooccurrence": f"WITH {_PAIRS} SELECT query_id, i, j, count(*) AS n, round(sum(conf), 6) AS conf FROM pairs GROUP BY query_id, i, j",
     "displacement_policy": f"WITH {_DISPLACED} SELECT query_id, kp_idx, i, j, round(conf, 6) AS conf FROM last WHERE n = 1",
-    "expansion_policy": f"WITH {_PAIRS} SELECT query_id, kp_idx, i, j, round(conf, 6) AS conf FROM pairs WHERE ok AND conf > {THRESHOLD}",
+    "expansion_policy": f"WITH {_PAIRS} SELECT query_id, i, j, count(*) AS n, CAST(sum(kp_idx) AS BIGINT) AS keypoints, round(sum(conf), 6) AS conf FROM pairs WHERE ok AND conf > {THRESHOLD} GROUP BY query_id, i, j",
     "min_support": f"WITH {_DISPLACED} SELECT query_id, count(*) AS points FROM last WHERE n = 1 GROUP BY query_id HAVING count(*) >= 4",
     "accuracy_at_thresholds": f"WITH {_ERRORS}, c AS ({_CASES}) SELECT t_thr, r_thr, round_even(avg(CASE WHEN t_err <= t_thr AND r_err <= r_thr THEN 1e0 ELSE 0e0 END), 2) AS accuracy FROM e, c GROUP BY t_thr, r_thr",
     "median_errors": f"WITH {_ERRORS} SELECT round(median(t_err), 6) AS t_median, round(median(r_err), 6) AS r_median FROM e",
+    "median_errors_nan": f"""WITH {_BROKEN}, p AS (SELECT * FROM (VALUES (0), (1)) v(part)), m AS (SELECT p.part, median(t_err) FILTER (NOT isnan(t_err)) AS t, bool_or(isnan(r_err)) AS b, median(r_err) FILTER (NOT isnan(r_err)) AS r FROM p LEFT JOIN e ON e.part = p.part GROUP BY p.part)
+SELECT CAST(part AS INTEGER) AS part, round(t, 6) AS t_median, b AS r_is_nan, CASE WHEN NOT b THEN round(r, 6) END AS r_median FROM m""",
+    "accuracy_with_nan": f"WITH {_BROKEN}, c AS ({_CASES}) SELECT t_thr, r_thr, round_even(avg(CASE WHEN t_err <= t_thr AND r_err <= r_thr THEN 1e0 ELSE 0e0 END), 2) AS accuracy FROM e, c GROUP BY t_thr, r_thr",
     "pose_auc": f"""WITH {_ERRORS}, s AS (SELECT greatest(t_err, r_err) AS err, row_number() OVER (ORDER BY greatest(t_err, r_err)) AS k, count(*) OVER () AS m FROM e),
 p AS (SELECT 0e0 AS err, 0e0 AS rec UNION ALL SELECT err, k / m::DOUBLE FROM s), t AS (SELECT * FROM (VALUES (5e0), (10e0), (20e0)) v(threshold)),
 q AS (SELECT threshold, err, rec FROM p, t WHERE err < threshold UNION ALL SELECT threshold, threshold, max(rec) FROM p, t WHERE err < threshold GROUP BY threshold),
