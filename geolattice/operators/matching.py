@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +95,37 @@ def sampled_descriptors(grid: DataFrame, points: DataFrame, cell: int = 8) -> Da
     summed = weighted.groupBy("image", "y", "x", "channel").agg(F.sum(F.col("w") * F.col("value")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("image", "y", "x")))
     return summed.select("image", "y", "x", "channel", F.when(norm > 0, F.col("v") / norm).alias("v"))
+
+
+def descriptor_scores(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(pair, i, j, score): inner products over the root of the length, of the descriptors (pair, kp_idx, desc) of both images of a pair.
+
+    A pair is one group, bounded by the keypoints of two images.
+    """
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"pair": pa.array([], pa.int64()), "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        i, j = a.column("kp_idx").to_numpy().astype(np.int64), b.column("kp_idx").to_numpy().astype(np.int64)
+        x, y = (np.array(t.column("desc").to_pylist(), dtype=float) for t in (a, b))
+        s = x @ y.T / x.shape[1] ** 0.5
+        return pa.table({"pair": np.full(s.size, a.column("pair")[0].as_py(), dtype=np.int64), "i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "score": s.reshape(-1)})
+
+    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(score, "pair long, i long, j long, score double")
+
+
+def match_descriptors(left: DataFrame, right: DataFrame, dustbin: float = 1.0, rounds: int = 100, threshold: float = 0.2) -> DataFrame:
+    """(pair, i, j, confidence): mutual best matches of the transport plan between the keypoints of two images.
+
+    Keypoints are (pair, kp_idx, desc), with kp_idx from 0 without gaps. ``score`` tables of
+    another matcher go through ``sinkhorn`` and ``mutual_matches`` alike.
+    """
+    plan = sinkhorn(staged(descriptor_scores(left, right), "scores"), dustbin, rounds)
+    inner = plan.filter("i >= 0 AND j >= 0").select("pair", "i", "j", F.exp("z").alias("score"))
+    return mutual_matches(staged(inner, "plan"), threshold).withColumnRenamed("score", "confidence")
+
+
+def detect_and_match(left: DataFrame, right: DataFrame, detector: Callable[[DataFrame], DataFrame], **matching) -> DataFrame:
+    """Matches of images: sides without descriptors go through the detector first, which gives (pair, kp_idx, desc)."""
+    sides = [side if "desc" in side.columns else detector(side) for side in (left, right)]
+    return match_descriptors(*sides, **matching)

@@ -51,6 +51,13 @@ def inside_box(nodes: DataFrame, south: float, west: float, north: float, east:
     return nodes.filter((F.col("lat") >= south) & (F.col("lat") <= north) & (F.col("lng") >= west) & (F.col("lng") <= east))
 
 
+def nearest_node(nodes: DataFrame, lat: float, lng: float):
+    """The id of the node (id, lat, lng) nearest to a point, of equally near ones the smallest; None without nodes."""
+    d = geodesy.inverse(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))["distance"]
+    best = nodes.select(F.struct(d.alias("d"), F.col("id").alias("id")).alias("n")).agg(F.min("n").alias("n")).first().n
+    return best.id if best else None
+
+
 def within_distance(edges: DataFrame, start: int, limit: float, max_rounds: int = 500) -> DataFrame:
     """(node, dist): nodes reached from ``start`` along edges (u, v, length) within ``limit``, by rounds of relaxation."""
     both = staged(edges.select("u", "v", "length").union(edges.select("v", "u", "length")), "arcs")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.operators import datasets
@@ -62,3 +62,43 @@ def panorama_requests(entries: DataFrame, fov: float, n: int, size: int = 640) -
     rows = datasets.headings(entries.select("entry_id"), n)
     target = F.when(F.col("heading") == 0, F.col("entry_id").cast("string")).otherwise(F.concat_ws("_", F.col("entry_id").cast("string"), F.col("heading").cast("string")))
     return rows.select(target.alias("target_id"), "entry_id", "heading", F.lit(float(fov)).alias("fov"), F.lit(size).alias("size"))
+
+
+def fetch_panoramas(requests: DataFrame, client: Callable[[str, int, float, int], bytes], present: DataFrame | None = None) -> DataFrame:
+    """(target_id, entry_id, image, w, h, azn, fov, error) for the rows of ``panorama_requests``, one call each.
+
+    The client takes entry, heading, field of view and size. Entries in ``present`` (entry_id,
+    azn) have an image already: their own heading is not asked for again, and others go to an
+    id of their own.
+    """
+    rows = requests
+    if present is not None:
+        held = present.select("entry_id", F.col("azn").alias("_azn"), F.lit(True).alias("_held"))
+        rows = rows.join(held, "entry_id", "left").filter(F.col("_held").isNull() | ~F.col("_azn").eqNullSafe(F.col("heading")))
+        own = F.when(F.col("_held"), F.concat_ws("_", F.col("entry_id").cast("string"), F.col("heading").cast("string"))).otherwise(F.col("target_id"))
+        rows = rows.withColumn("target_id", own)
+    kind = requests.schema["entry_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                image, error = None, None
+                try:
+                    image = client(r.entry_id, r.heading, r.fov, r.size)
+                except Exception as e:
+                    error = str(e)
+                yield pd.DataFrame({"target_id": [r.target_id], "entry_id": [r.entry_id], "image": [image], "w": [r.size], "h": [r.size], "azn": [float(r.heading)], "fov": [r.fov], "error": [error]})
+
+    schema = f"target_id string, entry_id {kind}, image binary, w int, h int, azn double, fov double, error string"
+    return rows.select("target_id", "entry_id", "heading", "fov", "size").mapInPandas(run, schema)
+
+
+def fetch_street_graph(spark: SparkSession, query: str | tuple[float, float], client: Callable[..., tuple[list, list]], radius: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, lat, lng) and (u, v) tables of the streets of a place, or of a disc around (lat, lng); other queries raise ValueError."""
+    if isinstance(query, str):
+        nodes, edges = client(place=query)
+    elif isinstance(query, (list, tuple)) and radius is not None:
+        nodes, edges = client(point=tuple(query), radius=radius)
+    else:
+        raise ValueError("a place, or a point and a radius, is needed")
+    return spark.createDataFrame(nodes, "id long, lat double, lng double"), spark.createDataFrame(edges, "u long, v long")

@@ -1,7 +1,7 @@
 """Readers for directory datasets, pose files and arrays, all as DataFrames.
 
 Files are read through Spark's binaryFile and text sources, so any store that Spark can reach
-works; arrays are decoded from their bytes in Arrow batches. Empty files do not appear: binaryFile skips them.
+works; arrays are decoded from their bytes in Arrow batches.
 """
 
 from __future__ import annotations
@@ -30,8 +30,54 @@ def _entry() -> Column:
 
 
 def list_entries(spark: SparkSession, root: str) -> DataFrame:
-    """(entry_id): the sub-directories of a dataset that hold files; listing reads no content."""
-    return _files(spark, root, "*").select(_entry().alias("entry_id")).distinct()
+    """(entry_id): every sub-directory of a dataset, empty ones too; files beside them are none.
+
+    Like any file listing of Spark's it runs on the driver and reads no content.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(top)
+    names = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.isDirectory():
+            names.append((status.getPath().getName(),))
+    return spark.createDataFrame(names, "entry_id string")
+
+
+def _decode_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for kind, content in zip(batch.column("kind").to_pylist(), batch.column("content"), strict=True):
+            array = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+            n = len(array)
+            names = array.astype(str).tolist() if kind == "entries" else [None] * n
+            poses = [None] * n if kind == "entries" else array.astype(float).reshape(n, 16).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(range(n), pa.int64()), pa.array(names, pa.string()), pa.array(poses, pa.list_(pa.float64()))], names=["kind", "n", "entry_id", "e"])
+
+
+def read_experiment_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """(entry_id, gt, est): rows of entries.npy with the poses, 16 numbers each, of gt.npy and estm.npy at the same place."""
+    kind = F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("kind")
+    rows = _files(spark, folder, "{entries,gt,estm}.npy").select(kind, "content").mapInArrow(_decode_arrays, "kind string, n long, entry_id string, e array<double>")
+    part = lambda name, column, alias: rows.filter(F.col("kind") == name).select("n", F.col(column).alias(alias))
+    return part("entries", "entry_id", "entry_id").join(part("gt", "e", "gt"), "n").join(part("estm", "e", "est"), "n").drop("n")
+
+
+def read_experiment(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """Results written by ``sinks.write_experiment``; all experiments, or the one of that name."""
+    found = spark.read.parquet(root)
+    return found if name is None else found.filter(F.col("exp_name") == name)
+
+
+def reference_entries(entries: DataFrame, queries: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(entry_id): the references given, or all entries that are no query."""
+    if references is not None:
+        return references.select("entry_id")
+    return entries.select("entry_id").join(queries, "entry_id", "left_anti")
+
+
+def read_street_graph(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """(id, lat, lng) and (u, v) tables of a street graph in Parquet."""
+    return spark.read.parquet(nodes).select("id", "lat", "lng"), spark.read.parquet(edges).select("u", "v")
 
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:

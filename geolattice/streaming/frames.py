@@ -13,10 +13,11 @@ def frame_stream(spark: SparkSession, folder: str, glob: str = "*.jpg", per_trig
     return stream.select("path", F.col("modificationTime").alias("modified"), "content")
 
 
-def every_nth_frame(frames: DataFrame, skip: int) -> DataFrame:
-    """Frames whose number, the last digits of the file name, is a multiple of ``skip``."""
+def every_nth_frame(frames: DataFrame, skip: int, most: int | None = None) -> DataFrame:
+    """Frames whose number, the last digits of the file name, is a multiple of ``skip``; with ``most`` the first so many from 0."""
     number = F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("long")
-    return frames.withColumn("frame", number).filter(F.col("frame") % skip == 0)
+    kept = frames.withColumn("frame", number).filter(F.col("frame") % skip == 0)
+    return kept if most is None else kept.filter(F.col("frame") < skip * most)
 
 
 def first_panoramas(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
