@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster names the folder in ``spark.checkpoint.dir``; local sessions get a temporary one."""
+    """The cluster names the folder in ``spark.checkpoint.dir``; local sessions get a temporary one, others raise without it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("geolattice.local.scratch", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="geolattice-")
         spark.conf.set("geolattice.local.scratch", base)
     return base.rstrip("/")
