@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its
 predecessor kept. All but the last return the columns of ``documents``.
+
+NULL texts and texts without a letter go with the first stage; given to a later one alone, a
+NULL text counts as empty. Texts of any length are worked on whole. Rows that repeat an id are
+judged by their text. An empty table gives an empty table, and columns beside doc_id, text and
+lang may have any names.
 """
 
 from __future__ import annotations
