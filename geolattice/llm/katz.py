@@ -1,23 +1,31 @@
 """Katz backoff language model: counting, Good-Turing discounts, exact backoff weights, scores.
 
-Tokens are words and one end token a text; the model has order two. All tables are binary
-columns of numpy arrays, keyed by word hash ranges, and every stage is a grouped map:
+Tokens are words and one end token a text; an n-gram that reaches back over a text's start is
+filled with start symbols. All tables are binary columns of numpy arrays, and every stage is
+a map or a grouped map over bounded pieces:
 
 1. *Chunks.* Tasks turn texts into codes into a chunk's own sorted vocabulary of 64-bit word
-   hashes. The chunk table is written to the shared folder.
-2. *Counting.* Each chunk sends, per range of predicted words, its distinct words and word
-   pairs with training counts. A range adds up counts over chunks. Words with a large share
-   of all tokens have their pairs spread by history instead, so no word makes a range hot.
-3. *Histories.* Ranges send what their pairs add to each history, already summed per range,
-   to ranges of histories, together with which chunks ask for a history's backoff weight.
-   Counts go back to the chunks, as do the histories that they asked for.
-4. *Scores.* A chunk looks its tokens up: a pair seen in training has its discounted relative
-   frequency, others the history's backoff weight times the word's own probability.
+   hashes. The chunk table is written to the shared folder. A chunk's n-grams of every length
+   up to the order follow from it, each known by a 64-bit hash of its words' hashes.
+2. *Counting.* Each chunk sends its distinct n-grams with training counts to ranges of their
+   hashes, so a frequent word or history loads no range more than another. A range adds up the
+   counts and answers each chunk; of the chunks that hold an n-gram the first is its owner.
+   Answers are written to the shared folder: they are the model's count tables by chunk.
+3. *Histories.* Owners add up, for the histories that text outside the training rows needs,
+   what their n-grams take of a history's mass, and send the sums, with the histories that
+   they ask for, to ranges of histories. What chunks asked for goes back to them.
+4. *Scores.* A chunk evaluates its n-grams from short to long: one seen in training has its
+   discounted relative frequency, others the history's backoff weight times the probability
+   of the same n-gram without its first word.
 
 With d the discounts, c* = d*c. A history's backoff weight is the mass its discounts free
-over the unigram mass of the words not seen after it, so every history's probabilities,
-unknown words included as one class, add up to one. Counts over ``CUT`` lose ``FLOOR``, so
-no history is left without mass.
+over the shorter model's mass of the words not seen after it, so every history's
+probabilities, unknown words included as one class, add up to one. Counts over ``CUT`` lose
+``FLOOR``, so no history is left without mass.
+
+The number of ranges follows from the number of tokens, so a range has the same size
+whatever the corpus. A chunk sends a message to each range that one of its n-grams is in:
+never more messages than it has n-grams.
 """
 
 from __future__ import annotations
@@ -31,43 +39,68 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import materialize, small_slices
 
 CUT = 5
 FLOOR = 0.05
+ORDER = 3
 #: Hashes that stand for the end of a text and for its start as a history.
 END, START = (1 << 64) - 1, (1 << 64) - 2
-CHUNK_TEXT = 6 << 20
-#: Words with a larger share of all training tokens than one in so many have their pairs spread.
-HOT_SHARE = 512
-#: Ranges of words and histories for each shuffle partition; a range is one group in memory.
-RANGES_PER_PARTITION = 2
-STATS = 2 + 2 * (CUT + 1)
+CHUNK_TEXT = 16 << 20
+#: Bytes of messages in a range, and about what a token gives for each length: repeats within a chunk are sent once.
+RANGE_BYTES = 8 << 20
+GRAM_BYTES = 4
+#: Kept for each history: n-grams by count up to CUT, all n-grams, and of their shorter forms the counts over CUT added up and the number by count up to CUT.
+SUMS = 2 + 2 * CUT
+
+
+#: How a byte plane is kept: all zero, as it is, or compressed by itself.
+_ZERO, _PLAIN, _PACKED = range(3)
+#: Low bytes of 64-bit steps between hashes, which are random: not worth compressing.
+_RANDOM_PLANES = 5
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value: byte planes side by side, so that small numbers shrink."""
-    parts = []
+    """Arrays as one value of byte planes, each compressed by itself where that shrinks it."""
+    parts, packer = [], zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
     for a in arrays:
         a = np.ascontiguousarray(a)
         parts.append(struct.pack("<2sq", a.dtype.str[1:3].encode(), len(a)))
-        parts.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T if len(a) else ()
+        for i, plane in enumerate(planes):
+            raw = plane.tobytes()
+            if a.dtype == np.uint64 and i < _RANDOM_PLANES:
+                parts += [bytes([_PLAIN]), raw]
+            elif not plane.any():
+                parts.append(bytes([_ZERO]))
+            elif len(packed := packer.compress(raw)) + 4 < len(raw):
+                parts += [struct.pack("<BI", _PACKED, len(packed)), packed]
+            else:
+                parts += [bytes([_PLAIN]), raw]
+    return b"".join(parts)
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 0
-    while at < len(raw):
-        kind, n = struct.unpack_from("<2sq", raw, at)
+    out, at, unpacker = [], 0, zstandard.ZstdDecompressor()
+    while at < len(blob):
+        kind, n = struct.unpack_from("<2sq", blob, at)
         at += 10
         dtype = np.dtype("<" + kind.decode())
-        planes = np.frombuffer(raw, dtype=np.uint8, count=n * dtype.itemsize, offset=at)
-        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
-        at += n * dtype.itemsize
+        values = np.zeros((n, dtype.itemsize), dtype=np.uint8)
+        for i in range(dtype.itemsize if n else 0):
+            how = blob[at]
+            at += 1
+            if how == _PLAIN:
+                values[:, i] = np.frombuffer(blob, dtype=np.uint8, count=n, offset=at)
+                at += n
+            elif how == _PACKED:
+                (size,) = struct.unpack_from("<I", blob, at)
+                values[:, i] = np.frombuffer(unpacker.decompress(blob[at + 4 : at + 4 + size]), dtype=np.uint8)
+                at += 4 + size
+        out.append(values.reshape(-1).view(dtype))
     return out
 
 
@@ -83,13 +116,25 @@ def _small(a: np.ndarray) -> np.ndarray:
 
 
 def _range_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Which of ``buckets`` equal ranges of 64-bit values each hash is in."""
+    """Which of ``buckets`` (at most 2**32) equal ranges of 64-bit values each hash is in."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _mix(word: np.ndarray, history: np.ndarray) -> np.ndarray:
-    key = word * np.uint64(0x9E3779B97F4A7C15) + (history ^ (history >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return key ^ (key >> np.uint64(31))
+def _extend(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from the hash of its history and that of its last word; the order of the two counts."""
+    key = history * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+    return key ^ (key >> np.uint64(33))
+
+
+def _start_hashes(order: int) -> list[np.ndarray]:
+    """Hashes of one start symbol, two, and so on."""
+    symbol = np.array([START], dtype=np.uint64)
+    out = [symbol]
+    for _ in range(order - 1):
+        out.append(_extend(out[-1], symbol))
+    return out
 
 
 # --- chunks ---------------------------------------------------------------------------------
@@ -104,12 +149,27 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return out
 
 
-def _chunks(buckets: int, chunk_text: int, hot_share: int):
-    names = ["chunk", "docs", "codes", "bounds", "vocabulary", "heavy", "tokens", "texts"]
+def _full_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``limit`` bytes of text, across batches; a longer text is in one part."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in small_slices(batches, "text", max(1, limit // 4)):
+        n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if held and size + n > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _chunks(chunk_text: int):
+    names = ["chunk", "docs", "codes", "words", "tokens", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        for batch in small_slices(batches, "text", chunk_text):
+        for batch in _full_slices(batches, chunk_text):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             words = lists.flatten()
             lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -127,22 +187,9 @@ def _chunks(buckets: int, chunk_text: int, hot_share: int):
             codes[inner] = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else []
             trains = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             ids = batch.column("doc_id")
-            counts = np.bincount(codes[np.repeat(trains, sizes)], minlength=len(vocabulary))
-            edges = np.searchsorted(_range_of(vocabulary, buckets), np.arange(buckets + 1)).astype(np.int32)
-            heavy = np.flatnonzero(counts >= max(1, counts.sum() // (8 * hot_share)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk], pa.int64()),
-                    pa.array([pack_arrays(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), trains.astype(np.uint8), _small(sizes))], pa.binary()),
-                    pa.array([pack_arrays(codes)], pa.binary()),
-                    pa.array([pack_arrays(edges)], pa.binary()),
-                    pa.array([pack_arrays(_steps(vocabulary), _small(counts))], pa.binary()),
-                    pa.array([[(int(vocabulary[i].astype(np.int64)), int(counts[i])) for i in heavy]], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))),
-                    pa.array([int(counts.sum())], pa.int64()),
-                    pa.array([int(trains.sum())], pa.int64()),
-                ],
-                names=names,
-            )
+            docs = pack_arrays(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), trains.astype(np.uint8), _small(sizes))
+            row = [chunk, docs, pack_arrays(codes), pack_arrays(_steps(vocabulary)), len(codes), int(trains.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], names=names)
             chunk += 1
             del lists, words, coded, codes, inner, real, owner, place
             pa.default_memory_pool().release_unused()
@@ -150,189 +197,217 @@ def _chunks(buckets: int, chunk_text: int, hot_share: int):
     return run
 
 
-def _vocabulary(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, counts = unpack_arrays(blob)
-    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where each occurs first, and the place of every value among them."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    distinct = ordered[new]
+    del ordered
+    at = np.empty(len(values), dtype=np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return distinct, order[new].astype(np.int32), at
 
 
-def _exact_counts(hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(hot), dtype=np.int64)
-        for batch in batches:
-            for blob in batch.column("vocabulary"):
-                words, counts = _vocabulary(blob.as_py())
-                at = np.minimum(np.searchsorted(words, hot), max(0, len(words) - 1))
-                total += np.where(words[at] == hot, counts[at], 0)
-        yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64)), pa.array(total)], names=["word", "n"])
-
-    return run
+class Grams:
+    """A chunk's distinct n-grams by length: sorted hashes, the tokens that they end at, histories and shorter forms.
 
+    Index k - 1 stands for length k. ``history`` is the place of an n-gram without its last word
+    and ``shorter`` that without its first, among those of one word less; the place past the last
+    one stands for start symbols only.
+    """
 
-# --- pairs of a chunk -----------------------------------------------------------------------
-
-
-class Pairs:
-    """Distinct (word, history) pairs of a chunk in the order of ranges: ranges of the word for most, of the history for hot words."""
-
-    def __init__(self, codes: np.ndarray, sizes: np.ndarray, edges: np.ndarray, hot_codes: np.ndarray, buckets: int, want_rows: bool) -> None:
-        n = int(edges[-1])
-        self.start = n
-        history = np.empty_like(codes)
-        history[1:] = codes[:-1]
-        history[np.cumsum(sizes) - sizes] = n
-        key = codes.astype(np.uint64) << np.uint64(32) | history.astype(np.uint64)
-        if want_rows:
-            distinct, self.rows = np.unique(key, return_inverse=True)
-        else:
-            distinct, self.rows = np.unique(key), None
-        word, past = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        is_hot = np.zeros(n + 1, dtype=bool)
-        is_hot[hot_codes] = True
-        bucket_of = np.repeat(np.arange(buckets), np.diff(edges))
-        bucket_of = np.append(bucket_of, buckets - 1)  # the start of a text
-        self.hot = is_hot[word]
-        bucket = np.where(self.hot, bucket_of[past], bucket_of[word])
-        self.order = np.argsort(bucket * 2 + self.hot, kind="stable")
-        self.key, self.word, self.past, self.hot = key, word[self.order], past[self.order], self.hot[self.order]
-        group = (bucket * 2)[self.order] + self.hot
-        self.edges = np.searchsorted(group, np.arange(2 * buckets + 1))
-        self.distinct = distinct
-
-
-def _send_pairs(buckets: int, hot: np.ndarray):
+    def __init__(self, row: dict, order: int) -> None:
+        self.ids, self.null, trains, sizes = unpack_arrays(row["docs"])
+        (codes,) = unpack_arrays(row["codes"])
+        words = np.cumsum(unpack_arrays(row["words"])[0], dtype=np.uint64)
+        self.sizes = sizes.astype(np.int64)
+        self.trains = trains.astype(bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.taught = np.repeat(self.trains, self.sizes)
+        first_token = np.zeros(len(codes), dtype=bool)
+        first_token[self.starts] = True
+        self.opens = first_token
+        self.hashes, self.at = [words], [codes]
+        self.history: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.shorter: list[np.ndarray] = [np.zeros(0, np.int64)]
+        token, begin = words[codes], _start_hashes(order)
+        gram = token
+        for k in range(2, order + 1):
+            before = np.empty_like(gram)
+            before[1:] = gram[:-1]
+            before[self.starts] = begin[k - 2]
+            gram = _extend(before, token)
+            distinct, first, at = _distinct(gram)
+            history = np.where(first_token[first], np.int32(len(self.hashes[-1])), self.at[-1][first - 1])
+            self.shorter.append(self.at[-1][first])
+            self.history.append(history.astype(np.int32))
+            self.hashes.append(distinct)
+            self.at.append(at)
+
+    def counts(self, k: int) -> np.ndarray:
+        """Training counts of the n-grams of length k."""
+        return np.bincount(self.at[k - 1][self.taught], minlength=len(self.hashes[k - 1]))
+
+    def asked(self, k: int) -> np.ndarray:
+        """Whether each n-gram of length k is the history of a token outside the training rows."""
+        out = np.zeros(len(self.hashes[k - 1]), dtype=bool)
+        later = np.flatnonzero(~self.taught & ~self.opens)
+        out[self.at[k - 1][later - 1]] = True
+        return out
+
+
+def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(_range_of(hashes, buckets), np.arange(buckets + 1))
+
+
+def _messages(numbers: list[int], chunk: int, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([chunk] * len(numbers), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
+
+
+def _send_grams(buckets: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, _, trains, sizes = unpack_arrays(row["docs"])
-                (codes,), (edges,) = unpack_arrays(row["codes"]), unpack_arrays(row["bounds"])
-                words, counts = _vocabulary(row["vocabulary"])
-                sizes = sizes.astype(np.int64)
-                pairs = Pairs(codes, sizes, edges, _hot_codes(words, hot), buckets, False)
-                taught = np.unique(pairs.key[np.repeat(trains.astype(bool), sizes)], return_counts=True)
-                tally = np.zeros(len(pairs.distinct), dtype=np.int64)
-                tally[np.searchsorted(pairs.distinct, taught[0])] = taught[1]
-                tally = tally[pairs.order]
-                hashes = np.append(words, np.uint64(START))
-                hot_place = np.searchsorted(hot, hashes)
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                grams = Grams(row, order)
+                counts = [grams.counts(k) for k in range(1, order + 1)]
+                asked = [grams.asked(k).astype(np.uint8) for k in range(1, order)]
+                cuts = [_cuts(h, buckets) for h in grams.hashes]
+                numbers, blobs = [], []
                 for b in range(buckets):
-                    a, m, z = pairs.edges[2 * b], pairs.edges[2 * b + 1], pairs.edges[2 * b + 2]
-                    low, high = int(edges[b]), int(edges[b + 1])
-                    if a == z and low == high:
-                        continue
-                    past, at = np.unique(pairs.past[a:z], return_inverse=True)
-                    per_word = np.bincount(pairs.word[a:m] - low, minlength=high - low)
-                    blob = pack_arrays(_steps(words[low:high]), _small(counts[low:high]), _small(per_word), past.astype(np.int32), hashes[past], _small(at), _small(tally[a:z]), hot_place[pairs.word[m:z]].astype(np.uint16))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "blob"])
+                    parts = []
+                    for k in range(order):
+                        low, high = cuts[k][b], cuts[k][b + 1]
+                        parts += [_steps(grams.hashes[k][low:high]), _small(counts[k][low:high])]
+                        if k < order - 1:
+                            parts.append(asked[k][low:high])
+                    if any(map(len, parts)):
+                        numbers.append(b)
+                        blobs.append(pack_arrays(*parts))
+                yield _messages(numbers, row["chunk"], blobs)
 
     return run
 
 
-def _hot_codes(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(words, hot), len(words) - 1)
-    return at[words[at] == hot]
-
+# --- ranges ---------------------------------------------------------------------------------
 
-# --- merging a range ------------------------------------------------------------------------
+_ANSWERS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_TOTALS = -1
 
-_MERGED = pa.schema([("kind", pa.int32()), ("target", pa.int64()), ("source", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
-COUNTS, HISTORIES, TOTALS = 0, 1, 2
 
+def _by_count(values: np.ndarray) -> list[int]:
+    """How many values are 1, 2, up to CUT + 1."""
+    return [int((values == r).sum()) for r in range(1, CUT + 2)]
 
-def _by_value(values: np.ndarray, where: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """For r up to CUT: how many of the rows selected by ``where`` have value r, by group ``at``."""
-    return [np.bincount(at[where & (values == r)], minlength=size) for r in range(1, CUT + 1)]
 
+def _merge_grams(order: int):
+    """Adds up a range's counts over chunks; answers each chunk with total, owner and need of its n-grams."""
 
-def _merge_words(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        messages = [unpack_arrays(blob) for _, _, blob in rows]
+        answers: list[list[np.ndarray]] = [[] for _ in rows]
+        stats: list[int] = []
+        for k in range(order):
+            hashes = [np.cumsum(m[3 * k], dtype=np.uint64) for m in messages]
+            spans = np.cumsum([0, *map(len, hashes)])
+            distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            counts = np.concatenate([m[3 * k + 1] for m in messages]).astype(np.int64)
+            total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
+            known = np.flatnonzero(counts)
+            owner = np.zeros(len(place), dtype=np.uint8)
+            owner[known[np.unique(place[known], return_index=True)[1]]] = 1
+            need = np.zeros(len(distinct), dtype=np.uint8)
+            if k < order - 1:
+                need[place[np.concatenate([m[3 * k + 2] for m in messages]).astype(bool)]] = 1
+            for i, answer in enumerate(answers):
+                mine = slice(spans[i], spans[i + 1])
+                answer += [_small(total[place[mine]]), owner[mine] | need[place[mine]] << 1]
+            stats += [int(total.sum()), int((total > 0).sum()), *_by_count(total)]
         bucket = rows[0][1]
-        parts = []
-        for chunk, _, blob in rows:
-            steps, counts, per_word, past, past_hash, at, tally, hot_at = unpack_arrays(blob)
-            parts.append((chunk, np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64), per_word.astype(np.int64), past, past_hash, at.astype(np.int64), tally.astype(np.int64), hot_at))
-        words, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([p[2] for p in parts]), minlength=len(words)).astype(np.int64)
-        spans = np.cumsum([0] + [len(p[1]) for p in parts])
-        pair_word, pair_count = [], []
-        for i, p in enumerate(parts):
-            mine = place[spans[i] : spans[i + 1]]
-            normal = np.repeat(mine, p[3])
-            pair_word += [words[normal], hot[p[8]]]
-            pair_count += [count[normal], hot_counts[p[8]]]
-        word_hash, word_count = np.concatenate(pair_word), np.concatenate(pair_count)
-        history = np.concatenate([p[5][p[6]] for p in parts])
-        tally = np.concatenate([p[7] for p in parts])
-        _, first, back = np.unique(_mix(word_hash, history), return_index=True, return_inverse=True)
-        total = np.bincount(back, weights=tally, minlength=len(first)).astype(np.int64)
-        answers = total[back]
-
-        out: list[tuple] = []
-        cuts = np.cumsum([0] + [len(p[6]) for p in parts])
-        asked_h, asked_c, asked_k = [], [], []
-        for i, p in enumerate(parts):
-            mine = answers[cuts[i] : cuts[i + 1]]
-            out.append((COUNTS, p[0], bucket, pack_arrays(_small(count[place[spans[i] : spans[i + 1]]]), _small(mine)), None))
-            unseen = np.unique(p[6][mine == 0])
-            asked_h.append(p[5][unseen])
-            asked_k.append(p[4][unseen])
-            asked_c.append(np.full(len(unseen), p[0], dtype=np.int64))
-
-        seen = np.flatnonzero(total)
-        c2, cw = total[seen], word_count[first[seen]]
-        past, at = np.unique(history[first[seen]], return_inverse=True)
-        every = np.ones(len(seen), dtype=bool)
-        sums = [*_by_value(c2, every, at, len(past)), np.bincount(at, minlength=len(past)), np.bincount(at, weights=np.where(cw > CUT, cw, 0), minlength=len(past)).astype(np.int64), *_by_value(cw, every, at, len(past))]
-        ask_h, ask_c, ask_k = np.concatenate(asked_h), np.concatenate(asked_c), np.concatenate(asked_k)
-        order = np.argsort(ask_h, kind="stable")
-        ask_h, ask_c, ask_k = ask_h[order], ask_c[order], ask_k[order]
-        of_past, of_ask = _range_of(past, buckets), _range_of(ask_h, buckets)
-        pe, ae = np.searchsorted(of_past, np.arange(buckets + 1)), np.searchsorted(of_ask, np.arange(buckets + 1))
-        for b in range(buckets):
-            p0, p1, a0, a1 = pe[b], pe[b + 1], ae[b], ae[b + 1]
-            if p0 < p1 or a0 < a1:
-                blob = pack_arrays(_steps(past[p0:p1]), *[_small(s[p0:p1]) for s in sums], _steps(ask_h[a0:a1]), ask_c[a0:a1], ask_k[a0:a1])
-                out.append((HISTORIES, b, bucket, blob, None))
-        known = count[count > 0]
-        stats = [int(known.sum()), len(known), *[int((known == r).sum()) for r in range(1, CUT + 2)], *[int((c2 == r).sum()) for r in range(1, CUT + 2)]]
-        out.append((TOTALS, bucket, bucket, None, stats))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MERGED.types, strict=True)], schema=_MERGED)
+        out = [(chunk, bucket, pack_arrays(*a), None) for (chunk, _, _), a in zip(rows, answers, strict=True)]
+        out.append((_TOTALS, bucket, None, stats))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ANSWERS.types, strict=True)], schema=_ANSWERS)
+
+    return run
+
+
+class Counted:
+    """A chunk's n-grams with the totals, owners and needs that the ranges answered; start symbols are the last place."""
+
+    def __init__(self, row: dict, answers: list[tuple[int, bytes]], buckets: int, order: int, texts: int) -> None:
+        self.grams = Grams(row, order)
+        self.total = [np.append(np.zeros(len(h), dtype=np.int64), texts) for h in self.grams.hashes]
+        self.owner = [np.zeros(len(h), dtype=bool) for h in self.grams.hashes]
+        self.need = [np.append(np.zeros(len(h), dtype=bool), True) for h in self.grams.hashes]
+        cuts = [_cuts(h, buckets) for h in self.grams.hashes]
+        for bucket, blob in answers:
+            arrays = unpack_arrays(blob)
+            for k in range(order):
+                mine = slice(cuts[k][bucket], cuts[k][bucket + 1])
+                self.total[k][mine] = arrays[2 * k]
+                self.owner[k][mine] = arrays[2 * k + 1] & 1
+                self.need[k][mine] = arrays[2 * k + 1] >> 1
+
+    def wanted(self, k: int) -> np.ndarray:
+        """Places of the histories, known in training, of n-grams of length k that were not seen there."""
+        past = np.unique(self.grams.history[k - 1][self.total[k - 1][:-1] == 0])
+        return past[self.total[k - 2][past] > 0]
+
+
+def _send_histories(buckets: int, order: int, texts: int):
+    """Owners' sums by needed history and what the chunk asks for, to ranges of histories."""
+    begin = _start_hashes(order)
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = chunk.to_pylist()
+        counted = Counted(row, list(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)), buckets, order, texts)
+        grams = counted.grams
+        parts: list[list[np.ndarray]] = [[] for _ in range(buckets)]
+        for k in range(2, order + 1):
+            hashes = np.append(grams.hashes[k - 2], begin[k - 2])
+            mine = np.flatnonzero(counted.owner[k - 1] & counted.need[k - 2][grams.history[k - 1]])
+            total = counted.total[k - 1][mine]
+            less = counted.total[k - 2][grams.shorter[k - 1][mine]]
+            past, at = np.unique(grams.history[k - 1][mine], return_inverse=True)
+            n = len(past)
+            by = lambda values: [np.bincount(at[values == r], minlength=n) for r in range(1, CUT + 1)]  # noqa: B023, E731
+            sums = [*by(total), np.bincount(at, minlength=n), np.bincount(at, weights=np.where(less > CUT, less, 0), minlength=n).astype(np.int64), *by(less)]
+            order_past = np.argsort(hashes[past])
+            past, sums = hashes[past][order_past], [s[order_past] for s in sums]
+            asks = np.sort(hashes[counted.wanted(k)])
+            pe, ae = _cuts(past, buckets), _cuts(asks, buckets)
+            for b in range(buckets):
+                p, a = slice(pe[b], pe[b + 1]), slice(ae[b], ae[b + 1])
+                parts[b] += [_steps(past[p]), *[_small(s[p]) for s in sums], _steps(asks[a])]
+        sent = [(b, pack_arrays(*p)) for b, p in enumerate(parts) if any(map(len, p))]
+        return pa.Table.from_batches([_messages([b for b, _ in sent], row["chunk"], [blob for _, blob in sent])])
 
     return run
 
 
-def _merge_histories(table: pa.Table) -> pa.Table:
-    if table.column("kind")[0].as_py() != HISTORIES:
-        return table
-    bucket = int(table.column("target")[0].as_py())
-    past, sums, ask_h, ask_c, ask_k = [], [], [], [], []
-    for blob in table.column("blob").to_pylist():
-        a = unpack_arrays(blob)
-        past.append(np.cumsum(a[0], dtype=np.uint64))
-        sums.append(np.array([x.astype(np.float64) for x in a[1:-3]]).reshape(2 + 2 * CUT, -1))
-        ask_h.append(np.cumsum(a[-3], dtype=np.uint64))
-        ask_c.append(a[-2])
-        ask_k.append(a[-1])
-    known, at = np.unique(np.concatenate(past), return_inverse=True)
-    parts = np.concatenate(sums, axis=1)
-    merged = np.array([np.bincount(at, weights=row, minlength=len(known)) for row in parts]).reshape(2 + 2 * CUT, len(known))
-    h, c, k = np.concatenate(ask_h), np.concatenate(ask_c), np.concatenate(ask_k)
-    order = np.lexsort((k, c))
-    h, c, k = h[order], c[order], k[order]
-    if len(k):
-        once = np.append(True, (np.diff(c) != 0) | (np.diff(k) != 0))
-        h, c, k = h[once], c[once], k[once]
-    place = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-    found = known[place] == h if len(known) else np.zeros(len(h), dtype=bool)
-    h, c, k, place = h[found], c[found], k[found], place[found]
-    out = []
-    edges = np.flatnonzero(np.append(True, np.diff(c) != 0)) if len(c) else []
-    for a, z in zip(edges, [*edges[1:], len(c)][: len(edges)], strict=True):
-        cols = merged[:, place[a:z]].astype(np.int64)
-        out.append((HISTORIES, int(c[a]), bucket, pack_arrays(k[a:z].astype(np.int32), *[_small(x) for x in cols]), None))
-    if not out:
-        return _MERGED.empty_table()
-    return pa.Table.from_arrays([pa.array(col, t) for col, t in zip(zip(*out, strict=True), _MERGED.types, strict=True)], schema=_MERGED)
+def _merge_histories(order: int):
+    """Adds up the sums of a range's histories over chunks and answers what chunks asked for, in the order of hashes."""
+    width = SUMS + 2
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        messages = [unpack_arrays(blob) for _, _, blob in rows]
+        answers: list[list[np.ndarray]] = [[] for _ in rows]
+        for k in range(order - 1):
+            base = width * k
+            past = [np.cumsum(m[base], dtype=np.uint64) for m in messages]
+            known, at = np.unique(np.concatenate(past), return_inverse=True)
+            merged = [np.bincount(at, weights=np.concatenate([m[base + 1 + i] for m in messages]), minlength=len(known)).astype(np.int64) for i in range(SUMS)]
+            for m, answer in zip(messages, answers, strict=True):
+                place = np.searchsorted(known, np.cumsum(m[base + width - 1], dtype=np.uint64))
+                answer += [_small(s[place]) for s in merged]
+        out = [(chunk, bucket, pack_arrays(*a)) for (chunk, bucket, _), a in zip(rows, answers, strict=True) if any(map(len, a))]
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"chunk": pa.array(columns[0], pa.int32()), "bucket": pa.array(columns[1], pa.int64()), "blob": pa.array(columns[2], pa.binary())})
+
+    return run
 
 
 # --- discounts and scores -------------------------------------------------------------------
@@ -363,116 +438,126 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class KatzParameters:
-    """Global numbers of the model: sizes and discounts."""
+    """Global numbers of the model: sizes and discounts by length."""
 
-    def __init__(self, stats: list[int], texts: int) -> None:
+    def __init__(self, stats: list[int], texts: int, order: int) -> None:
+        per = len(stats) // order
         self.tokens, self.types = stats[0], stats[1]
         self.texts = texts
-        self.d1, self.d2 = discounts(stats[2 : 3 + CUT]), discounts(stats[3 + CUT :])
+        self.d = [discounts(stats[per * k + 2 : per * (k + 1)]) for k in range(order)]
         of_counts = np.array(stats[2 : 2 + CUT], dtype=float)
-        freed = float(((1 - self.d1[1:]) * np.arange(1, CUT + 1) * of_counts).sum()) + FLOOR * (self.types - float(of_counts.sum()))
+        freed = float(((1 - self.d[0][1:]) * np.arange(1, CUT + 1) * of_counts).sum()) + FLOOR * (self.types - float(of_counts.sum()))
         self.unknown = freed / self.tokens if self.tokens else 1.0
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, self.d1) / max(1, self.tokens), self.unknown)
+        return np.where(counts > 0, discounted(counts, self.d[0]) / max(1, self.tokens), self.unknown)
 
-    def backoff(self, count: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
-        """Backoff weights of histories from their counts and summed rows."""
+    def backoff(self, k: int, count: np.ndarray, shorter: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+        """Backoff weights to length k - 1 of histories, from their counts, those of their shorter forms and summed rows."""
         r = np.arange(1, CUT + 1)[:, None]
         n_r, types, mass, m_r = np.array(sums[:CUT], dtype=float), sums[CUT].astype(float), sums[CUT + 1].astype(float), np.array(sums[CUT + 2 :], dtype=float)
-        freed = ((1 - self.d2[1:, None]) * r * n_r).sum(axis=0) + FLOOR * (types - n_r.sum(axis=0))
-        seen = (mass - FLOOR * (types - m_r.sum(axis=0)) + (self.d1[1:, None] * r * m_r).sum(axis=0)) / max(1, self.tokens)
+        freed = ((1 - self.d[k - 1][1:, None]) * r * n_r).sum(axis=0) + FLOOR * (types - n_r.sum(axis=0))
+        seen = (mass - FLOOR * (types - m_r.sum(axis=0)) + (self.d[k - 2][1:, None] * r * m_r).sum(axis=0)) / np.maximum(1, shorter)
         return (freed / count) / np.maximum(1 - seen, 1e-300)
 
 
-def _score(buckets: int, hot: np.ndarray, p: KatzParameters):
+def _probabilities(counted: Counted, weights: dict[int, np.ndarray], p: KatzParameters, order: int) -> np.ndarray:
+    """Probability of the last word of each n-gram of the longest length, by recursion over shorter ones."""
+    grams = counted.grams
+    found = p.unigram(counted.total[0][:-1])
+    for k in range(2, order + 1):
+        total, history = counted.total[k - 1][:-1], grams.history[k - 1]
+        direct = discounted(total, p.d[k - 1]) / np.maximum(1, counted.total[k - 2][history])
+        found = np.where(total > 0, direct, weights[k][history] * found[grams.shorter[k - 1]])
+    return found
+
+
+def _score(buckets: int, p: KatzParameters, order: int):
+    begin = _start_hashes(order)
+
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
-        ids, null, trains, sizes = unpack_arrays(row["docs"])
-        (codes,), (edges,) = unpack_arrays(row["codes"]), unpack_arrays(row["bounds"])
-        hot_codes, = unpack_arrays(row["hot"])
-        sizes = sizes.astype(np.int64)
-        pairs = Pairs(codes, sizes, edges, hot_codes.astype(np.int64), buckets, True)
-        n = pairs.start
-        count = np.zeros(n + 1, dtype=np.int64)
-        count[n] = p.texts
-        total = np.zeros(len(pairs.distinct), dtype=np.int64)
-        weight = np.ones(n + 1)
-        later = []
-        for kind, source, blob in zip(answers.column("kind").to_pylist(), answers.column("source").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-            if kind == COUNTS:
-                of_words, of_pairs = unpack_arrays(blob)
-                count[edges[source] : edges[source + 1]] = of_words
-                total[pairs.order[pairs.edges[2 * source] : pairs.edges[2 * source + 2]]] = of_pairs
-            else:
-                later.append(unpack_arrays(blob))
-        for k, *sums in later:
-            weight[k] = p.backoff(count[k], sums)
-        word, past = (pairs.distinct >> np.uint64(32)).astype(np.int64), (pairs.distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        direct = discounted(total, p.d2) / np.maximum(1, count[past])
-        pair_log = np.log10(np.where(total > 0, direct, weight[past] * p.unigram(count[word])))
-        base_log = np.log10((count[:n] + 1) / (p.tokens + p.types + 1))
-        starts = np.cumsum(sizes) - sizes
-        add = lambda values: np.add.reduceat(values, starts)
+        (row,) = chunk.to_pylist()
+        counts, sums = [], []
+        for kind, bucket, blob in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True):
+            (counts if kind == 0 else sums).append((bucket, blob))
+        counted = Counted(row, counts, buckets, order, p.texts)
+        grams = counted.grams
+        blobs = {bucket: unpack_arrays(blob) for bucket, blob in sums}
+        weights = {}
+        for k in range(2, order + 1):
+            weight = np.ones(len(grams.hashes[k - 2]) + 1)
+            wanted = counted.wanted(k)
+            hashes = np.append(grams.hashes[k - 2], begin[k - 2])[wanted]
+            wanted = wanted[np.argsort(hashes)]
+            cuts = _cuts(np.sort(hashes), buckets)
+            shorter = np.append(grams.shorter[k - 2], len(grams.hashes[k - 3])) if k > 2 else None
+            for b in np.flatnonzero(np.diff(cuts)):
+                places = wanted[cuts[b] : cuts[b + 1]]
+                less = counted.total[k - 3][shorter[places]] if k > 2 else np.full(len(places), p.tokens)
+                weight[places] = p.backoff(k, counted.total[k - 2][places], less, blobs[int(b)][SUMS * (k - 2) : SUMS * (k - 1)])
+            weights[k] = weight
+        log = np.log10(_probabilities(counted, weights, p, order))
+        count = counted.total[0][:-1]
+        base_log = np.log10((count + 1) / (p.tokens + p.types + 1))
+        add = lambda values: np.add.reduceat(values, grams.starts)
+        codes = grams.at[0]
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)),
-                "held_out": pa.array(~trains.astype(bool)),
-                "n_tokens": pa.array(sizes),
+                "doc_id": pa.array(grams.ids, pa.int64(), mask=grams.null.astype(bool)),
+                "held_out": pa.array(~grams.trains),
+                "n_tokens": pa.array(grams.sizes),
                 "n_known": pa.array(add((count[codes] > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(ids), p.tokens, dtype=np.int64)),
+                "train_tokens": pa.array(np.full(len(grams.ids), p.tokens, dtype=np.int64)),
                 "base_score": pa.array(add(base_log[codes])),
-                "score": pa.array(add(pair_log[pairs.rows])),
+                "score": pa.array(add(log[grams.at[order - 1]])),
             }
         )
 
     return run
 
 
-def _with_hot(hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pack_arrays(_hot_codes(_vocabulary(v.as_py())[0], hot).astype(np.int32)) for v in batch.column("vocabulary")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(n)) for n in ("chunk", "docs", "codes", "bounds")], pa.array(found, pa.binary())], names=["chunk", "docs", "codes", "bounds", "hot"])
-
-    return run
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks numbered from 0 without gaps, by the counts of the tasks that made them, a row per task."""
+    task = F.shiftright("chunk", 24).alias("task")
+    order = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = chunks.groupBy(task).agg(F.count("*").alias("n"))
+    before = materialize(counts.select("task", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), "katz-places")
+    place = (F.col("before") + F.col("chunk").bitwiseAND((1 << 24) - 1)).cast("int")
+    return chunks.withColumn("task", task).join(F.broadcast(before), "task").withColumn("chunk", place)
 
 
-def score_katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_text: int = CHUNK_TEXT, hot_share: int = HOT_SHARE) -> DataFrame:
-    """Trains on the rows where ``train`` holds and scores every whole text.
+def score_katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_text: int = CHUNK_TEXT, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Trains a model of n-grams up to ``order`` words on the rows where ``train`` holds and scores every whole text.
 
     Returns one row per input row: ``id_col``, held_out (not trained on), n_tokens, n_known
     (tokens seen in training), train_tokens, base_score (add-one unigram log10 probability),
     score (the model's log10 probability). A NULL or empty text is its end token. NULL and
     repeated ids come back as they are; a NULL ``train`` counts as false. Without training
-    rows every token is unknown and has probability one. An empty table gives no rows. Other
-    columns are ignored, whatever their names. Words are told apart by 64-bit hashes.
+    rows every token is unknown and has probability one. A text of any length is scored whole,
+    as a chunk of its own if it is longer than ``chunk_text`` bytes. An empty table gives no
+    rows. Other columns are ignored, whatever their names. Words and n-grams are told apart by
+    64-bit hashes: of n distinct ones about n * n / 2**65 pairs share one by chance and are
+    counted together.
     """
-    spark = docs.sparkSession
-    buckets = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    schema = "chunk long, docs binary, codes binary, bounds binary, vocabulary binary, heavy array<struct<word:long,n:long>>, tokens long, texts long"
-    chunks = materialize(rows.mapInArrow(_chunks(buckets, chunk_text, hot_share), schema), "katz-chunks")
-    sizes = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")).first()
-    heavy = chunks.select(F.explode("heavy").alias("h")).groupBy("h.word").agg(F.sum("h.n").alias("n"))
-    found = heavy.filter(F.col("n") >= max(1, sizes.tokens // (2 * hot_share))).select("word").collect()  # at most 2 * hot_share words
-    hot = np.sort(np.array([r.word for r in found], dtype=np.int64).view(np.uint64))
-    exact = dict.fromkeys(hot.tolist(), 0)
-    if len(hot):
-        for r in chunks.select("vocabulary").mapInArrow(_exact_counts(hot), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-            exact[r.word % (1 << 64)] = r.n
-    hot_counts = np.array([exact[w] for w in hot.tolist()], dtype=np.int64)
-
-    sent = chunks.select("chunk", "docs", "codes", "bounds", "vocabulary").mapInArrow(_send_pairs(buckets, hot), "bucket int, chunk long, blob binary")
-    merged = sent.groupBy("bucket").applyInArrow(_merge_words(buckets, hot, hot_counts), "kind int, target long, source int, blob binary, stats array<long>")
-    answers = merged.groupBy("kind", "target").applyInArrow(_merge_histories, "kind int, target long, source int, blob binary, stats array<long>")
-    answers = materialize(answers, "katz-tables")
-    totals = answers.filter(f"kind = {TOTALS}").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
-    stats = [0] * STATS
-    for r in totals:
-        stats[r.i] = r.n
-    parameters = KatzParameters(stats, sizes.texts)
-    mine = chunks.select("chunk", "docs", "codes", "bounds", "vocabulary").mapInArrow(_with_hot(hot), "chunk long, docs binary, codes binary, bounds binary, hot binary")
-    theirs = answers.filter(f"kind <> {TOTALS}").select(F.col("target").alias("chunk"), "kind", "source", "blob")
-    scored = mine.groupBy("chunk").cogroup(theirs.groupBy("chunk")).applyInArrow(_score(buckets, hot, parameters), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    chunks = materialize(rows.mapInArrow(_chunks(chunk_text), "chunk long, docs binary, codes binary, words binary, tokens long, texts long"), "katz-chunks")
+    sizes = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")).first()
+    buckets = max(1, -(-sizes.tokens * order * GRAM_BYTES // range_bytes))
+    own = _numbered(chunks).select("chunk", "docs", "codes", "words")
+    across = max(sizes.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_chunk = lambda df: df.repartitionById(across, F.col("chunk")).groupBy("chunk")
+    by_range = lambda df: df.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+
+    message = "bucket int, chunk int, blob binary"
+    counts = by_range(own.mapInArrow(_send_grams(buckets, order), message)).applyInArrow(_merge_grams(order), "chunk int, bucket long, blob binary, stats array<long>")
+    counts = materialize(counts, "katz-counts")
+    totals = {r.i: r.n for r in counts.filter(F.col("chunk") == _TOTALS).select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    p = KatzParameters([totals.get(i, 0) for i in range(order * (CUT + 3))], sizes.texts, order)
+    counts = counts.filter(F.col("chunk") != _TOTALS).select("chunk", "bucket", "blob", F.lit(0).alias("kind"))
+    answers = counts
+    if order > 1:
+        sent = by_chunk(own).cogroup(by_chunk(counts)).applyInArrow(_send_histories(buckets, order, p.texts), message)
+        sums = by_range(sent).applyInArrow(_merge_histories(order), "chunk int, bucket long, blob binary")
+        answers = counts.union(sums.select("chunk", "bucket", "blob", F.lit(1)))
+    scored = by_chunk(own).cogroup(by_chunk(answers)).applyInArrow(_score(buckets, p, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("doc_id", id_col)
