@@ -21,13 +21,15 @@ CHUNK_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (local
-    mode, tests) a temporary folder is made once for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset in local mode
+    (tests) a temporary folder is made once for the session; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("geolattice.local.scratch", None)
         if not base:
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="geolattice-")
             spark.conf.set("geolattice.local.scratch", base)
     return base.rstrip("/")
