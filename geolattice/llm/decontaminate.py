@@ -161,31 +161,35 @@ def find_contamination(
 
 
 def proximity_matches(
-    docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, least: float = 1.0, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """(``id_col``, item_id, window): windows whose three rarest words stand near their places.
-
-    The rarest word fixes where the window would start; each of the other two must occur at
-    most ``slop`` words from its own place. Words a window lacks are not asked for. Positions
-    are cut into blocks of slop + 1, so lists meet by equality and only neighbours compare.
+    """(``id_col``, item_id, window): windows of which a share of ``least`` words stand at most ``slop`` words from their places.
+
+    The window's rarest word that a document has there fixes where the window would start.
+    With a share of ``least`` at most so many words are missing; so that word is among as many
+    and one more of the window's rarest, whose postings are looked up, and every word of the
+    window is held against the document's words around its place. Words that the corpus lacks
+    count as missing. NULL and empty texts and items have no windows; rows that repeat an id
+    are judged by their own text; an empty table gives no rows.
     """
     test = index_items(items, item_col, item_text_col)
     counts = corpus_counts(docs, test, text_col, broadcast_rows)
-    anchors = materialize(window_anchors(test, counts, length, 3), "anchors")
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - length, F.lit(0)))).alias("start")
+    opened = test.select("item", "words", starts).select("item", "start", F.expr(f"slice(words, start + 1, {length})").alias("window"))
+    need = F.ceil(F.size("window") * least - 1e-9).cast("int")
+    opened = materialize(opened.withColumn("need", F.greatest(need, F.lit(1))), "windows")
+    places = opened.select("item", "start", (F.size("window") - F.col("need") + 1).alias("depth"), F.posexplode("window").alias("at", "term"))
+    order = Window.partitionBy("item", "start").orderBy("n", "term", "at")
+    # of the words that the corpus lacks each takes one of the places that may be missing
+    known = places.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(order))
+    anchors = materialize(known.filter("rank <= depth AND n > 0").select("item", "start", "at", "term"), "near-anchors")
     terms = materialize(anchors.select("term").distinct(), "anchor-terms")
     postings = positional_index(docs, terms, id_col, text_col, broadcast_rows)
-    first = anchors.filter("rank = 1").select("item", "start", F.col("place").alias("place1"), "term")
-    others = anchors.filter("rank > 1").select("item", "start", "rank", "place", F.col("term").alias("sought"))
-    needed = anchors.groupBy("item", "start").agg(F.max("rank").alias("needed"))
-    n = anchors.count()
-    placed = postings.join(_small(first, n, broadcast_rows), "term").select("row", "item", "start", (F.col("pos") - F.col("place1")).alias("diagonal"))
-    block = slop + 1
-    around = F.explode(F.sequence(F.floor((F.col("diagonal") + F.col("place")) / block) - 1, F.floor((F.col("diagonal") + F.col("place")) / block) + 1)).alias("block")
-    asked = placed.join(_small(others, n, broadcast_rows), ["item", "start"]).select("*", around)
-    lists = postings.select(F.col("row"), F.col("term").alias("sought"), "pos", F.floor(F.col("pos") / block).alias("block"))
-    near = asked.join(lists, ["row", "sought", "block"]).filter(F.abs(F.col("pos") - F.col("diagonal") - F.col("place")) <= slop)
-    seen = near.select("row", "item", "start", "diagonal", "rank").union(placed.select("row", "item", "start", "diagonal", F.lit(1)))
-    full = seen.groupBy("row", "item", "start", "diagonal").agg(F.countDistinct("rank").alias("ranks")).join(needed, ["item", "start"]).filter("ranks = needed")
-    named = full.select("row", "item", "start").distinct().join(test.select("item", "item_id"), "item")
-    rows = docs.select(_row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("_id"))
-    return rows.join(named, "row").select(F.col("_id").alias(id_col), "item_id", F.col("start").alias("window"))
+    small = _small(anchors, anchors.count(), broadcast_rows)
+    placed = postings.join(small, "term").select("row", "item", "start", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    found = placed.join(_small(opened, opened.count(), broadcast_rows // 100), ["item", "start"]).join(_small(test.select("item", "item_id"), test.count(), broadcast_rows), "item")
+    rows = docs.select(_row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("_id"), words_of(F.col(f"`{text_col}`")).alias("_words"))
+    stands = lambda w, at: F.size(F.filter(F.slice("_words", F.greatest(at - slop, F.lit(0)) + 1, F.greatest(at + slop + 1 - F.greatest(at - slop, F.lit(0)), F.lit(0))), lambda x: x == w)) > 0
+    hits = F.size(F.filter(F.transform("window", lambda w, j: stands(w, F.col("diagonal") + j)), lambda x: x))
+    near = rows.join(found, "row").filter(hits >= F.col("need"))
+    return near.select(F.col("_id").alias(id_col), "item_id", F.col("start").alias("window")).distinct()

@@ -88,3 +88,35 @@ def test_proximity_allows_gaps(spark):
     assert near(0) == [1]
     assert set(near(3)) == {1, 2}
     assert near(200) == [1, 2, 4]  # the third lacks a word
+
+
+def test_edited_windows_match_nearly_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 12, 16])))) for i in range(6)] + [(90, None), (91, "!!")]
+    docs = []
+    for i in range(60):
+        w = words(rng.choice(items[:6])[1])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w = rng.choice([w[:at] + w[at + 1 :], w[:at] + ["absent" + str(i)] + w[at + 1 :], w[:at] + [rng.choice(vocabulary)] + w[at:]])
+            w = w or ["x"]
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 8)) + w + rng.choices(vocabulary, k=5))))
+    docs += [(100, None), (101, ""), (101, "w1 w2")]
+    corpus = [x for _, t in docs for x in words(t)]
+    for slop, least in ((0, 0.8), (1, 0.8), (2, 0.9), (1, 1.0)):
+        want = set()
+        for doc_id, text in docs:
+            w = words(text)
+            for item_id, t in items:
+                k = words(t)
+                for s in range(max(1, len(k) - 9) if k else 0):
+                    window = k[s : s + 10]
+                    need = max(1, -(-round(len(window) * least * 1000) // 1000))
+                    order = sorted(range(len(window)), key=lambda j: (corpus.count(window[j]), window[j], j))[: len(window) - need + 1]
+                    starts = {p - j for j in order for p, x in enumerate(w) if x == window[j]}
+                    if any(sum(x in w[max(0, d + j - slop) : max(0, d + j + slop + 1)] for j, x in enumerate(window)) >= need for d in starts):
+                        want.add((doc_id, item_id, s))
+        frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = {(r.doc_id, r.item_id, r.window) for r in proximity_matches(*frames, slop, least=least).collect()}
+        assert got == want and (len(want) > 20 or least == 1.0)
