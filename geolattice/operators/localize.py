@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +27,7 @@ class Config:
     cameras_distance_thr: float = 30.0
     rerank: bool = False
     policy: Policy = Policy.DISPLACEMENT
-    verbose: bool = False
+    verbose: bool = field(default=False, compare=False)  # says nothing about results
 
     @classmethod
     def of(cls, **values) -> Config:
