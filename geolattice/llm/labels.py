@@ -14,24 +14,30 @@ def draw_labelled(
 ) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
     """A sample of whole texts by label: ((id, text, label), share drawn by label, rows by label).
 
-    At most about ``most`` ids of each label are drawn, by hash of the id, so the number is
-    binomial around the bound and memory is bounded with it. Labels meet ids alone; only the
-    drawn ids, a bounded table, are broadcast to fetch texts. Where labels repeat an id the
-    largest (or smallest) counts; NULL labels are none. With ``unlabelled`` rows without a
-    label are drawn too, as label -1. NULL texts count as empty.
+    Rows are known by a hash of id and text. At most about ``most`` different rows of each label
+    are drawn, by that hash, so the number is binomial around the bound and memory is bounded
+    with it, however often an id or a row repeats; rows by label are estimates of the number of
+    different rows, within two percent or so. Labels meet ids and hashes alone; only the drawn
+    hashes, a bounded table, are broadcast to fetch texts. Where labels repeat an id the
+    largest (or smallest) counts; NULL labels are none. With ``unlabelled`` all rows, whether
+    they have a label or not, are drawn from once more, as label -1. NULL texts count as empty.
     """
     best = F.max(label) if largest else F.min(label)
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(best.cast("int").alias("label"))
-    ids = docs.select(F.col(f"`{id_col}`").alias("id")).join(marks, "id", "left" if unlabelled else "inner").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
-    counts = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"))
+    known = rows.select("id", "h").join(marks, "id").select("h", "label")
+    if unlabelled:
+        known = known.union(rows.select("h", F.lit(-1)))
+    known = materialize(known, "label-rows")
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not counts:
+        return rows.select("id", "text").limit(0).withColumn("label", F.lit(0)), {}, {}
     spread = 1 << 30
     cuts = {k: min(spread, int(most * spread / max(1, n))) for k, n in counts.items()}
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    if not counts:
-        return rows.limit(0).withColumn("label", F.lit(0)), {}, {}
     cut = F.element_at(F.create_map(*[F.lit(x) for k, c in cuts.items() for x in (k, c)]), F.col("label"))
-    drawn = materialize(ids.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(spread)) < cut).distinct(), "drawn-ids")
-    return rows.join(F.broadcast(drawn), "id"), {k: c / spread for k, c in cuts.items()}, counts
+    drawn = materialize(known.filter(F.pmod(F.xxhash64(F.lit(salt), "h", "label"), F.lit(spread)) < cut).distinct(), "drawn-rows")
+    found = rows.join(F.broadcast(drawn), "h").dropDuplicates(["h", "label"]).select("id", "text", "label")
+    return found, {k: c / spread for k, c in cuts.items()}, counts
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 Trusted positives and unlabelled web text, never labelled negatives, train a small network by
 minimising the non-negative unbiased risk: with class prior p and loss l,
-p * E_pos[l(+)] + max(0, E_unl[l(-)] - p * E_pos[l(-)]). The prior is estimated from labels.
+p * E_pos[l(+)] + max(0, E_unl[l(-)] - p * E_pos[l(-)]). Unlabelled text is a sample of all rows.
+The prior is estimated from the two samples alone: classifiers tell positives from unlabelled
+text, and among the rows they rank highest the shares of both are compared (best bin estimation).
 Rows are scored by themselves; nothing shuffles but the bounded sample.
 """
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm.common import materialize, small_slices
-from geolattice.llm.labels import draw_labelled, sigmoid
+from geolattice.llm.labels import draw_labelled, fit_logistic, sigmoid
 
 HIDDEN = 48
 
@@ -86,10 +88,10 @@ def nn_pu_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tu
     return prior * float(plus.mean()), float(np.log1p(np.exp(np.clip(unlabelled, -40, 40))).mean()) - prior * float(minus.mean())
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 512, rate: float = 5e-3, decay: float = 1e-4, seed: int = 5) -> QualityModel:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1600, batch: int = 512, rate: float = 5e-3, decay: float = 1e-4, seed: int = 5) -> QualityModel:
     """Trains the network by Adam on mini-batches.
 
-    Where a batch's negative part falls under zero, the step undoes that part (its gradient is
+    Batches are drawn with replacement, ``steps`` of them whatever the number of rows. Where a batch's negative part falls under zero, the step undoes that part (its gradient is
     followed upwards) instead of fitting it further.
     """
     rng = np.random.default_rng(seed)
@@ -100,40 +102,70 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: i
     k = p.shape[1]
     theta = [rng.normal(0, (2 / k) ** 0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), np.array(0.0)]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    steps = 0
-    for _ in range(epochs):
-        order_u = rng.permutation(len(u))
-        for at in range(0, len(u), batch):
-            xu = u[order_u[at : at + batch]]
-            xp = p[rng.integers(0, len(p), min(batch, len(p)))]
-            x = np.concatenate([xp, xu])
-            pre = np.einsum("ij,jk->ik", x, theta[0]) + theta[1]
-            hidden = np.maximum(0.0, pre)
-            out = np.einsum("ij,j->i", hidden, theta[2]) + theta[3]
-            fp, fu = out[: len(xp)], out[len(xp) :]
-            _, negative = nn_pu_risk(fp, fu, prior)
-            on_u, minus_p, plus_p = sigmoid(fu) / len(fu), -prior * sigmoid(fp) / len(fp), -prior * sigmoid(-fp) / len(fp)
-            if negative >= 0:
-                slope = np.concatenate([plus_p + minus_p, on_u])
-            else:
-                slope = np.concatenate([-minus_p, -on_u])
-            back = np.outer(slope, theta[2]) * (pre > 0)
-            grads = [np.einsum("ij,ik->jk", x, back) + decay * theta[0], back.sum(axis=0), np.einsum("ij,i->j", hidden, slope) + decay * theta[2], slope.sum()]
-            steps += 1
-            for i, g in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                theta[i] = theta[i] - rate * (first[i] / (1 - 0.9**steps)) / (np.sqrt(second[i] / (1 - 0.999**steps)) + 1e-8)
+    for step in range(1, steps + 1):
+        xu, xp = u[rng.integers(0, len(u), batch)], p[rng.integers(0, len(p), batch)]
+        x = np.concatenate([xp, xu])
+        pre = np.einsum("ij,jk->ik", x, theta[0]) + theta[1]
+        hidden = np.maximum(0.0, pre)
+        out = np.einsum("ij,j->i", hidden, theta[2]) + theta[3]
+        fp, fu = out[: len(xp)], out[len(xp) :]
+        _, negative = nn_pu_risk(fp, fu, prior)
+        on_u, minus_p, plus_p = sigmoid(fu) / len(fu), -prior * sigmoid(fp) / len(fp), -prior * sigmoid(-fp) / len(fp)
+        if negative >= 0:
+            slope = np.concatenate([plus_p + minus_p, on_u])
+        else:
+            slope = np.concatenate([-minus_p, -on_u])
+        back = np.outer(slope, theta[2]) * (pre > 0)
+        grads = [np.einsum("ij,ik->jk", x, back) + decay * theta[0], back.sum(axis=0), np.einsum("ij,i->j", hidden, slope) + decay * theta[2], slope.sum()]
+        for i, g in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            theta[i] = theta[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     return QualityModel(prior, mean, scale, theta[0], theta[1], theta[2], float(theta[3]))
 
 
 def estimate_prior(positives: int, negatives: int, fallback: float = 0.8) -> float:
-    """Share of positives among web text, from the counts of labelled rows; ``fallback`` without negatives."""
+    """Share of positives from counts of labelled rows of both kinds, for callers who have them and pass ``prior``; ``fallback`` without negatives."""
     if not negatives:
         return fallback
     return float(np.clip((positives + 1) / (positives + negatives + 2), 0.02, 0.98))
 
 
+def mixture_share(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """Share of positives among unlabelled rows from the ranks that a classifier gives to both.
+
+    Above a threshold lie a share a of the positives and b of the unlabelled rows, and as
+    unlabelled text is a mixture, the share is b / a at most. The threshold is that of the least
+    upper bound of b / a, with deviations that hold at ``confidence``.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cuts = np.unique(p)
+    above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    wide = lambda n: np.sqrt(np.log(4 / confidence) / (2 * n))
+    best = int(((above_u + wide(len(u)) + wide(len(p))) / above_p).argmin())
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def mixture_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 800) -> float:
+    """Class prior from features of positives and unlabelled rows alone, without any negative.
+
+    A logistic regression between both gives a first estimate; the network fitted with nine
+    tenths of it ranks better and gives the second. Both are fitted on every other row and
+    estimate on the rest. One standard error and two thirds are taken off, as too large a prior
+    switches the negative part of the risk off, while one that is somewhat small does no harm.
+    """
+    half = lambda rows, at: rows[at::2] if len(rows) > 1 else rows
+    p, u = half(positive, 0), half(unlabelled, 0)
+    x, y = np.concatenate([p, u]), np.append(np.ones(len(p)), np.zeros(len(u)))
+    mean, scale, theta, _ = fit_logistic(x, y, np.where(y == 1, 1 / len(p), 1 / len(u)))
+    rank = lambda rows: np.einsum("ij,j->i", np.clip((rows - mean) / scale, -6, 6), theta)
+    rest_p, rest_u = half(positive, 1), half(unlabelled, 1)
+    first = mixture_share(rank(rest_p), rank(rest_u))
+    network = fit_pu(p, u, 0.9 * first, steps)
+    second = min(first, mixture_share(network.score(rest_p), network.score(rest_u)))
+    return max(0.02, second - 5 / 3 * float(np.sqrt(second * (1 - second) / len(rest_u))))
+
+
 def _scored(model: QualityModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, "text"):
@@ -146,31 +178,31 @@ def _scored(model: QualityModel | None):
     return run
 
 
-def fit_quality(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample_rows: int = 12_000) -> QualityModel:
-    """Fits from at most about ``sample_rows`` trusted positives and as many rows without a label.
+def fit_quality(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample_rows: int = 12_000, prior: float | None = None) -> QualityModel:
+    """Fits from at most about ``sample_rows`` trusted positives and as many rows of unlabelled text.
 
-    ``train`` holds the rows to learn from; a NULL label is no label; where labels repeat an
-    id the smallest counts. If every row is labelled, all rows stand in for unlabelled text.
-    Without positives the score is the prior everywhere.
+    ``train`` holds the rows to learn from; unlabelled text is drawn from all of them, and what
+    labels other than 1 say is not used. A NULL label is no label; where labels repeat an id the
+    smallest counts. The prior is estimated by ``mixture_prior`` unless given. Without positives
+    the score is the prior everywhere, 0.8 unless given.
     """
-    drawn, _, counts = draw_labelled(train, labels, label, sample_rows, id_col, text_col, unlabelled=True, largest=False)
-    prior = estimate_prior(counts.get(1, 0), counts.get(0, 0))
-    if counts.get(-1, 0) < 50:
-        drawn = drawn.union(drawn.filter("label >= 0").select("id", "text", F.lit(-1)))
-    drawn = drawn.filter("label <> 0")
-    seen = materialize(drawn.select("text", "label").mapInArrow(_scored(None), "label int, x array<double>"), "quality-sample").collect()
-    positive, unlabelled = (np.array([r.x for r in seen if r.label == k], dtype=float).reshape(-1, FEATURES) for k in (1, -1))
+    drawn, _, _ = draw_labelled(train, labels, label, sample_rows, id_col, text_col, unlabelled=True, largest=False)
+    seen = materialize(drawn.filter("label IN (1, -1)").select("text", "label").mapInArrow(_scored(None), "label int, x array<double>"), "quality-sample").collect()
+    positive, unlabelled = (np.array(sorted(r.x for r in seen if r.label == k), dtype=float).reshape(-1, FEATURES) for k in (1, -1))
     if not len(positive) or not len(unlabelled):
-        return QualityModel(prior, np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))))
-    epochs = int(np.clip(1_500_000 / (len(unlabelled) + len(positive)), 20, 300) * (1 if len(unlabelled) > 512 else 0.5))
-    return fit_pu(positive, unlabelled, prior, epochs=epochs)
+        p = estimate_prior(0, 0) if prior is None else prior
+        return QualityModel(p, np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(p / (1 - p))))
+    shuffle = np.random.default_rng(3)
+    positive, unlabelled = shuffle.permutation(positive), shuffle.permutation(unlabelled)
+    return fit_pu(positive, unlabelled, mixture_prior(positive, unlabelled) if prior is None else prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Scores every whole text.
 
     Returns one row per input row: ``id_col``, score (0 to 1, higher: more likely good),
-    predicted (1 from ``threshold`` on). NULL texts count as empty and are scored too. NULL
+    predicted (1 from ``threshold`` on). NULL texts count as empty and are scored too. Texts of
+    any length are scored whole. NULL
     and repeated ids come back as they are; an empty table gives no rows; other columns are
     ignored, whatever their names.
     """
