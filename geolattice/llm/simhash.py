@@ -85,14 +85,33 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return meeting.select(F.explode(F.array_remove("at", F.array_min("at"))).alias("u"), F.array_min("at").alias("v")).distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints by row, and (fp, component, component_id) by fingerprint."""
-    signed = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-owners")
+#: A fingerprint that more than one in so many rows have is looked up by broadcast; there are at most so many of them.
+HOT_SHARE = 1024
+
+
+def _owners(signed: DataFrame) -> DataFrame:
+    """(fp, least, hot): each distinct fingerprint with its smallest id, and whether its rows are too many for one task."""
+    distinct = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-owners")
+    most = (distinct.agg(F.sum("n").alias("n")).first().n or 0) // HOT_SHARE
+    return distinct.select("fp", "least", (F.col("n") > most).alias("hot") if most else F.lit(False).alias("hot"))
+
+
+def _labelled(distinct: DataFrame) -> DataFrame:
+    """(fp, least, hot, component): distinct fingerprints with the smallest fingerprint that they are linked to."""
     labels = connected_components(near_links(distinct.select("fp")))
-    joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    owners = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return signed, joined.join(owners, "component").select("fp", "component", "component_id")
+    return distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", "hot", F.coalesce("component", "fp").alias("component"))
+
+
+def _look_up(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (fp, ...) with what their fingerprint has in ``found`` (fp, hot, ...).
+
+    Rows of hot fingerprints meet a broadcast table of at most ``HOT_SHARE`` rows where they
+    are; the others, none of which has many rows, meet by shuffle.
+    """
+    found = materialize(found, "fingerprint-groups")
+    hot = F.broadcast(found.filter("hot").drop("hot"))
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(found.filter("NOT hot").drop("hot"), "fp")
+    return rows.join(hot, "fp").unionByName(cold)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,11 +120,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns one row per input row: ``id_col``, fingerprint (16 hex digits), component_id (the
     smallest id reachable). NULL and empty texts have fingerprint zero and are linked like any
     other. Rows that repeat an id come back as often. A NULL id takes no part in the minimum;
-    a group of NULL ids only has a NULL component. An empty table gives no rows. Other columns
-    are ignored, whatever their names.
+    a group of NULL ids only has a NULL component. Texts of any length are read whole. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
-    signed, owned = _grouped(docs, id_col, text_col)
-    found = signed.join(owned, "fp")
+    signed = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    labelled = _labelled(_owners(signed))
+    owners = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = _look_up(signed, labelled.join(owners, "component").select("fp", "hot", "component_id"))
     return found.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -120,12 +141,9 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], order.alias("_order"))
     slim = rows.select(F.col(names[id_col]).cast("long").alias("doc_id"), "_order", F.col(names[text_col]).alias("text"))
     slim = materialize(slim.mapInArrow(_fingerprints, "doc_id long, _order long, fp long"), "fingerprints")
-    distinct = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-owners")
-    labels = connected_components(near_links(distinct.select("fp")))
-    joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    component = joined.select("fp", "component")
+    component = _labelled(_owners(slim)).select("fp", "hot", "component")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_order").alias("o"))
-    winners = slim.join(component, "fp").groupBy("component").agg(F.min(rank).alias("w"))
+    winners = _look_up(slim, component).groupBy("component").agg(F.min(rank).alias("w"))
     chosen = materialize(winners.select(F.col("w.i").alias("_id"), F.col("w.o").alias("_win")), "representatives")
     back = [F.col(n).alias(c) for c, n in names.items()]
     kept = rows.join(chosen, (F.col("_order") == F.col("_win")) & F.col(names[id_col]).cast("long").eqNullSafe(F.col("_id")), "left_semi")

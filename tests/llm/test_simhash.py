@@ -97,3 +97,17 @@ def test_empty_repeated_and_null_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t u v")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id or -1) for r in near_duplicates(docs).collect())
     assert got == [(False, 1, 1), (False, 1, 1), (True, 0, -1), (True, 0, 1)]
+
+
+def test_hot_fingerprints_are_looked_up_apart(spark, monkeypatch):
+    from geolattice.llm import simhash
+
+    rows = [(i, "the same text again" if i % 3 else f"text number {i} of its own kind {i * 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(near_duplicates(docs).collect())
+    monkeypatch.setattr(simhash, "HOT_SHARE", 4)
+    assert simhash._owners(simhash.fingerprints(docs)).filter("hot").count() == 1
+    assert sorted(near_duplicates(docs).collect()) == plain and len(plain) == 300
+    assert {r.component_id for r in plain if r.doc_id % 3} == {1}
+    kept = simhash.keep_representatives(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in plain})
