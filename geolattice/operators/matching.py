@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,33 +52,84 @@ def normalized_keypoints(points: DataFrame, width: float, height: float) -> Data
     return points.withColumns({"x": (F.col("x") - width / 2) / scale, "y": (F.col("y") - height / 2) / scale})
 
 
+def _log_sums(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each run of entries that begins at ``start``."""
+    top = np.maximum.reduceat(value, start)
+    return top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(start, append=len(value)))), start))
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _transport(pair: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray, blank: np.ndarray, dustbin: float, rounds: int) -> tuple[np.ndarray, ...]:
+    """(pair, i, j, z, blank) of whole pairs, numbered from 0; a blank score counts for nothing."""
+    n_pairs = int(pair.max()) + 1
+    m, n = np.zeros(n_pairs, dtype=np.int64), np.zeros(n_pairs, dtype=np.int64)
+    np.maximum.at(m, pair, i + 1)
+    np.maximum.at(n, pair, j + 1)
+    once = lambda at: (lambda o: o[_starts(pair[o], at[o])])(np.lexsort((at, pair)))
+    rows, cols, every = once(i), once(j), np.arange(n_pairs)
+    bins = len(rows) + len(cols) + n_pairs
+    i = np.concatenate([i, i[rows], np.full(len(cols) + n_pairs, -1)])
+    j = np.concatenate([j, np.full(len(rows), -1), j[cols], np.full(n_pairs, -1)])
+    pair, score = np.concatenate([pair, pair[rows], pair[cols], every]), np.concatenate([np.where(blank, -np.inf, score), np.full(bins, dustbin)])
+    blank = np.concatenate([blank, np.zeros(bins, dtype=bool)])
+    norm = -np.log(m + n)
+    order = np.lexsort((j, i, pair))
+    pair, i, j, value, blank = pair[order], i[order], j[order], score[order], blank[order]
+    by_col = np.lexsort((i, j, pair))
+    row_start, col_start = _starts(pair, i), _starts(pair[by_col], j[by_col])
+    at = by_col[col_start]
+    mu = norm[pair[row_start]] + np.where(i[row_start] < 0, np.log(n)[pair[row_start]], 0)
+    nu = norm[pair[at]] + np.where(j[at] < 0, np.log(m)[pair[at]], 0)
+    row_of = np.repeat(np.arange(len(row_start)), np.diff(row_start, append=len(i)))
+    col_of = np.empty(len(i), dtype=np.int64)
+    col_of[by_col] = np.repeat(np.arange(len(col_start)), np.diff(col_start, append=len(i)))
+    u, v = np.zeros(len(row_start)), np.zeros(len(col_start))
+    for _ in range(rounds):
+        u = mu - _log_sums(value + v[col_of], row_start)
+        v = nu - _log_sums((value + u[row_of])[by_col], col_start)
+    return pair, i, j, value + u[row_of] + v[col_of] - norm[pair], blank
+
+
 def sinkhorn(scores: DataFrame, dustbin: float, rounds: int) -> DataFrame:
     """(pair, i, j, z): log transport plan of a score table with a dustbin row and column.
 
     Scores are (pair, i, j, score) with complete i and j from 0. The dustbins have index -1 and
-    take what matches nothing. Rows and columns are normalised in turn, in logs; each round is
-    two grouped log-sum-exps, and the potentials, a row per keypoint, are written out.
+    take what matches nothing. Rows and columns are normalised in turn, in logs. One shuffle
+    brings a pair's rows together; a task then solves as many whole pairs at once as lie in its
+    Arrow batches, each bounded by the keypoints of two images.
     """
-    size = scores.groupBy("pair").agg((F.max("i") + 1).alias("m"), (F.max("j") + 1).alias("n"))
-    bins = lambda df, i, j: df.select("pair", i.alias("i"), j.alias("j"), F.lit(dustbin).alias("score"))
-    rows, cols = scores.select("pair", "i").distinct(), scores.select("pair", "j").distinct()
-    minus = F.lit(-1).cast("long")
-    table = scores.select("pair", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("score").cast("double").alias("score"))
-    table = table.union(bins(rows, F.col("i").cast("long"), minus)).union(bins(cols, minus, F.col("j").cast("long"))).union(bins(size, minus, minus))
-    norm = -F.log(F.col("m") + F.col("n"))
-    table = staged(table.join(size, "pair").withColumns({"norm": norm, "mu": F.when(F.col("i") < 0, F.log("n") + norm).otherwise(norm), "nu": F.when(F.col("j") < 0, F.log("m") + norm).otherwise(norm)}), "transport")
-
-    def lse(df: DataFrame, keys: list[str], value, target: str, out: str) -> DataFrame:
-        top = df.groupBy(*keys).agg(F.max(value).alias("top"))
-        return df.join(top, keys).groupBy(*keys).agg((F.first(target) - F.first("top") - F.log(F.sum(F.exp(value - F.col("top"))))).alias(out))
-
-    v = table.select("pair", "j", F.lit(0.0).alias("v")).distinct()
-    u = None
-    for _ in range(rounds):
-        u = staged(lse(table.join(v, ["pair", "j"]), ["pair", "i"], F.col("score") + F.col("v"), "mu", "u"), "u")
-        v = staged(lse(table.join(u, ["pair", "i"]), ["pair", "j"], F.col("score") + F.col("u"), "nu", "v"), "v")
-    done = table.join(u, ["pair", "i"]).join(v, ["pair", "j"])
-    return done.select("pair", "i", "j", (F.col("score") + F.col("u") + F.col("v") - F.col("norm")).alias("z"))
+    kind = scores.schema["pair"].dataType.simpleString()
+    table = scores.select("pair", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("score").cast("double").alias("score")).filter("pair IS NOT NULL AND i IS NOT NULL AND j IS NOT NULL")
+
+    def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = table.column("pair").combine_chunks()
+        new = np.ones(len(names), dtype=bool)
+        new[1:] = pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)
+        i, j = (table.column(c).to_numpy() for c in ("i", "j"))
+        score = table.column("score")
+        pair, i, j, z, blank = _transport(np.cumsum(new) - 1, i, j, score.to_numpy(), score.is_null().to_numpy(), dustbin, rounds)
+        yield from pa.table({"pair": names.take(pa.array(np.flatnonzero(new)[pair])), "i": i, "j": j, "z": pa.array(z, mask=blank)}).to_batches(65536)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last pair, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = pc.index(pc.equal(batch.column("pair"), batch.column("pair")[-1]), True).as_py()
+            if last or (held and held[-1].column("pair")[-1] != batch.column("pair")[-1]):
+                yield from solved(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    return table.repartition("pair").sortWithinPartitions("pair").mapInArrow(whole, f"pair {kind}, i long, j long, z double")
 
 
 def sampled_descriptors(grid: DataFrame, points: DataFrame, cell: int = 8) -> DataFrame:
